@@ -9,8 +9,8 @@ Quotas.  Each source's words are dealt by a seeded hash to shards of about
 ``shard_rows`` documents.  Equal blocks of ``block_words`` words are apportioned
 to sources by Sainte-Lague (highest quotients target / (2 k + 1)), and each
 source's blocks to its shards in the same way, which gives every cell (source,
-shard) an integer quota.  Seats are not enumerated: the rounded share of each
-unit is at most half a seat off, so only the last few quotients are ranked.
+shard) an integer quota.  Seats are not enumerated: all but a few of a unit's seats
+are certain from its share, and only the quotients for the rest are ranked.
 
 Selection.  In a cell the documents stand in seeded order as one stream of
 words, cut into equal blocks.  A quota of whole rounds repeats the cell, the
@@ -74,23 +74,24 @@ def targets(sources: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 def apportioned(units: DataFrame, group: list, votes: str, seats: str, order: list, quota: str) -> DataFrame:
     """``units`` with integer quotas by Sainte-Lague, ``seats`` in each group.
 
-    The rounded share starts each unit; a surplus or shortage is at most half a
-    seat per unit and is settled by ranking the quotients next in line.
+    With U units and a divisor D, rounding moves the sum of votes / D from the
+    seats by U / 2 at most, so a unit of share s gets between s (n - U / 2) - 0.5
+    and s (n + U / 2) + 0.5 of n seats.  The lower bound is given at once; the
+    seats left are won by the highest of the quotients next in line.
     """
     whole = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
     v, n = F.col(votes).cast("double"), F.col(seats)
     share = F.when(F.sum(v).over(whole) > 0, v / F.sum(v).over(whole)).otherwise(0.0)
-    step = units.withColumn("_share", share).withColumn("_first", F.floor(F.col("_share") * n + 0.5).cast("long"))
-    step = step.withColumn("_off", n - F.sum("_first").over(whole)).withColumn("_units", F.count("*").over(whole))
-    width = (F.ceil(F.col("_share") * (F.abs("_off") + F.col("_units"))) + 1).cast("long")
-    step = step.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("_off") == 0, 0).otherwise(width).cast("long"))))
-    more = v / (2 * (F.col("_first") + F.col("_k")) + 1)
-    less = F.when(F.col("_first") > F.col("_k"), -v / (2 * (F.col("_first") - F.col("_k")) - 1)).otherwise(float("-inf"))
-    step = step.withColumn("_next", F.when(F.col("_off") >= 0, more).otherwise(less))
+    step = units.withColumn("_share", share).withColumn("_units", F.count("*").over(whole))
+    sure = F.floor(F.col("_share") * (n - F.col("_units") / 2) - 0.75).cast("long")
+    step = step.withColumn("_sure", F.greatest(sure, F.lit(0).cast("long")))
+    step = step.withColumn("_left", n - F.sum("_sure").over(whole))
+    width = F.ceil(F.col("_share") * F.col("_units")).cast("long") + 3
+    step = step.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), width)))
+    step = step.withColumn("_next", v / (2 * (F.col("_sure") + F.col("_k")) + 1))
     place = F.row_number().over(whole.orderBy(F.desc("_next"), *order, "_k"))
-    step = step.withColumn("_won", (place <= F.abs("_off")).cast("long"))
-    total = F.max("_first") + F.signum(F.max("_off")).cast("long") * F.sum("_won")
-    return step.groupBy(*units.columns).agg(F.greatest(total, F.lit(0).cast("long")).alias(quota))
+    step = step.withColumn("_won", (place <= F.col("_left")).cast("long"))
+    return step.groupBy(*units.columns).agg((F.max("_sure") + F.sum("_won")).alias(quota))
 
 
 def _number(text: Column, below: Column) -> Column:

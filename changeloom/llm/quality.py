@@ -164,4 +164,7 @@ def judged(
 def keep_good(df: DataFrame, **rules) -> DataFrame:
     """The rows that pass, with the columns of ``df``."""
     out, verdict = judged(df, **rules)
-    return out.where(F.col(verdict)["kept"]).select(*[quoted(c) for c in df.columns])
+    kept = free_name(out, "_kept")
+    # a generator, as a filter would be pushed down and repeat the verdict's expressions many times over
+    out = out.withColumn(kept, F.explode(F.array(F.col(verdict)["kept"])))
+    return out.where(F.col(kept)).select(*[quoted(c) for c in df.columns])

@@ -163,12 +163,12 @@ sh as (
   select distinct doc_id, array_to_string(words[i:i + 4], ' ') as s
   from (select doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) as i from w where len(words) > 0)),
 n as (select doc_id, count(*) as n from sh group by doc_id),
-pairs as (select a.doc_id as a, b.doc_id as b, count(*) as both from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as common from sh a join sh b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
 links as (
-  select p.a, p.b from pairs p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * both >= 75 * (x.n + y.n - both)),
+  select p.a, p.b from pairs p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * common >= 75 * (x.n + y.n - common)),
 edges as (select a, b from links union all select b, a from links),
-reach(doc_id, at) as (select doc_id, doc_id from w union select r.doc_id, e.b from reach r join edges e on e.a = r.at),
-comp as (select doc_id, min(at) as component_id from reach group by doc_id)
+reach(doc_id, other) as (select doc_id, doc_id from w union select r.doc_id, e.b from reach r join edges e on e.a = r.other),
+comp as (select doc_id, min(other) as component_id from reach group by doc_id)
 select c.doc_id, coalesce(n.n, 0)::bigint as n_shingles, c.component_id, c.doc_id = c.component_id as kept
 from comp c left join n using (doc_id)
 """

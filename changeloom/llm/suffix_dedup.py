@@ -179,7 +179,9 @@ def multikey_quicksort(strings: list[bytes]):
     """
     import numpy as np
 
-    width = -(-max(map(len, strings), default=0) // 8) * 8
+    width = max(8, -(-max(map(len, strings), default=0) // 8) * 8)
+    if not strings:
+        return np.empty(0, np.int64)
     keys = np.frombuffer(b"".join(s.ljust(width, b"\0") for s in strings), ">u8").reshape(len(strings), -1).astype(np.uint64)
     out, todo = [], [(np.arange(len(strings)), 0)]
     while todo:
