@@ -1 +1 @@
-"""Change data capture on PySpark."""
+"""Change data capture on PySpark: decode, flatten, fold and evolve row changes."""

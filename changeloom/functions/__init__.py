@@ -1 +1 @@
-"""Change data capture on PySpark."""
+"""Part of the change-data engine: functions."""
