@@ -383,13 +383,16 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = scratch.keep(found.withColumn("doc", F.monotonically_increasing_id()), "anchors")
     each = found.select("doc", F.explode(F.arrays_zip("places", "hashes")).alias("x"))
     each = each.select("doc", F.col("x.places").alias("place"), F.col("x.hashes").alias("hash"))
-    twice = each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
+    # written first, so that the join below has two plain shuffles and hot hashes are split
+    twice = scratch.keep(each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "twice")
     hits = each.join(twice, "hash").groupBy("doc").agg(F.collect_list(F.struct("place", "hash")).alias("hits"))
     hits = scratch.keep(hits.join(found.select("doc", "name"), "doc"), "hits")
     texts = docs.mapInArrow(_packed, f"id {kind}, name binary, packed binary")
     met = texts.select("name", "packed").join(hits, "name").groupBy("doc").agg(F.first("packed").alias("packed"), F.first("hits").alias("hits"))
     schema = "context binary, doc long, place int, hash long, suffix binary, prefix binary"
     hits = scratch.keep(met.mapInArrow(_contexts, schema), "contexts")
+    scratch.drop("hits")
+    scratch.drop("twice")
     matches = scratch.keep(_matches(hits, scratch, group).groupBy("context").agg(F.max("a").alias("a"), F.max("b").alias("b")), "matches")
     spans = hits.select("context", "doc", "place").join(matches, "context")
     span = F.struct((F.col("place") - F.col("a")).alias("from"), (F.col("place") + F.col("b")).alias("to"))
