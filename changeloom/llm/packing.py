@@ -51,13 +51,13 @@ def _cut(vocabulary: str, most: int, with_ids: bool):
 
         from .tokens import encoder
 
-        encode, end = encoder(vocabulary), END.to_bytes(4, "little")
+        encode, end = encoder(vocabulary).batch, END.to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
                 rows, pieces, starts, lengths, sums, ids = [], [], [], [], [], []
-                for row, text in enumerate(part.column(1).to_pylist()):
-                    all_ids = encode(text or "") + end
+                for row, all_ids in enumerate(encode(part.column(1).to_pylist())):
+                    all_ids += end
                     for piece, (start, length) in enumerate(pieces_of(len(all_ids) // 4, most)):
                         own = all_ids[4 * start : 4 * (start + length)]
                         rows.append(row)

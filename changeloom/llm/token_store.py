@@ -33,7 +33,7 @@ END = 0
 STRIPE_BYTES = 16 << 20
 STRIDE = 1000
 #: Rows of one Arrow batch, which bounds a task's memory.
-ROWS = 256
+ROWS = 2048
 
 
 def _encoded(vocabulary: str):
@@ -43,12 +43,12 @@ def _encoded(vocabulary: str):
 
         from .tokens import encoder
 
-        encode, end = encoder(vocabulary), END.to_bytes(4, "little")
+        encode, end = encoder(vocabulary).batch, END.to_bytes(4, "little")
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS):
                 rows = batch.slice(at, ROWS)
-                ids = [encode(text) + end for text in rows.column(1).to_pylist()]
+                ids = [x + end for x in encode(rows.column(1).to_pylist())]
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = np.cumsum(sizes)
                 values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))

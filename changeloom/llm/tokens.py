@@ -15,8 +15,11 @@ import re
 #: Fixed values of the vocabulary's pre-tokenizer, for plain Latin texts.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7E¡«»¿À-ɏ‐-‧]*")
-_TWO_SPACES = re.compile(r"[\t\r]|  |\n\n| \n|\n ")
-REMEMBERED = 400_000
+#: White space other than single spaces and line ends between words.
+_OTHER_SPACES = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
+#: Entries that a worker remembers; about 200 bytes each.
+REMEMBERED_PIECES, REMEMBERED_CHUNKS = 1_000_000, 300_000
+BATCH_BYTES = 8 << 20
 
 
 def default_vocabulary() -> str:
@@ -40,25 +43,34 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         ids = b"".join(t.id.to_bytes(4, "little") for t in self.tokenize(piece.encode().decode("latin-1").translate(self.letters)))
-        if len(self) < REMEMBERED:
+        if len(self) < REMEMBERED_PIECES:
             self[piece] = ids
         return ids
 
 
 class _Chunks(dict):
-    """Ids of what stands between spaces: the space before it is part of it, unless it begins a line."""
+    """Ids of what stands between spaces.
+
+    The space before a chunk is part of it, unless the chunk begins a line
+    (then with its line end) or a text (then with a zero character).
+    """
 
     def __init__(self, pieces: _Pieces):
         self.pieces = pieces
 
     def __missing__(self, chunk: str) -> bytes:
-        text = chunk if chunk[:1] == "\n" else f" {chunk}"
+        text = chunk if chunk[:1] == "\n" else chunk[1:] if chunk[:1] == "\0" else f" {chunk}"
         ids = b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
-        if len(self) < REMEMBERED:
+        if len(self) < REMEMBERED_CHUNKS:
             self[chunk] = ids
         return ids
 
 
+def _simple(text: str) -> bool:
+    """Whether chunks between spaces can be encoded one by one."""
+    return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in _OTHER_SPACES)
+
+
 class Encoder:
     """Texts to ids as little-endian unsigned 32-bit numbers, without special tokens."""
 
@@ -77,15 +89,49 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
         if not _PLAIN.fullmatch(text):
             return self.whole(text)
-        if _TWO_SPACES.search(text) or text[0] in " \n" or text[-1] in " \n":
-            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
-        first, *rest = text.replace("\n", " \n").split(" ")
-        head = b"".join(map(self.pieces.__getitem__, _PIECES.findall(first)))
-        return head + b"".join(map(self.chunks.__getitem__, rest))
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        out: list[bytes] = [b""] * len(texts)
+        todo, size = [], 0
+        for i, text in enumerate(texts):
+            if not _PLAIN.fullmatch(text):
+                out[i] = self.whole(text)
+            elif _simple(text):
+                todo.append(i)
+                size += len(text)
+            else:
+                out[i] = self(text)
+            if todo and (size >= BATCH_BYTES or i == len(texts) - 1):
+                for k, ids in zip(todo, self._gathered([texts[k] for k in todo]), strict=True):
+                    out[k] = ids
+                todo, size = [], 0
+        if todo:
+            for k, ids in zip(todo, self._gathered([texts[k] for k in todo]), strict=True):
+                out[k] = ids
+        return out
+
+    def _gathered(self, texts: list[str]) -> list[bytes]:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lists = pc.split_pattern(pa.array(["\0" + x.replace("\n", " \n") for x in texts], pa.large_string()), " ")
+        coded = lists.values.dictionary_encode()
+        ids = [*map(self.chunks.__getitem__, coded.dictionary.to_pylist())]
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begins = np.cumsum(lengths) - lengths
+        chunk = coded.indices.to_numpy()
+        width = lengths[chunk]
+        ends = np.cumsum(width)
+        tokens = flat[np.repeat(begins[chunk] - (ends - width), width) + np.arange(ends[-1])]
+        cuts = np.concatenate([[0], ends])[lists.offsets.to_numpy()]
+        raw = tokens.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
 
 
 _encoders: dict[str, Encoder] = {}

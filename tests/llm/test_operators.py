@@ -217,7 +217,9 @@ def test_sequences_hold_the_ids(spark):
 @settings(max_examples=400, deadline=None)
 def test_remembered_ids_are_the_library_s(text):
     encode = encoder(default_vocabulary())
+    more = [text, "", " ".join(text.split()), "two\nlines and 3 words, it's", text]
     assert encode(text) == encode.whole(text)
+    assert encode.batch(more) == [encode.whole(x) for x in more]
 
 
 def test_token_store(spark):
