@@ -17,9 +17,9 @@ _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7E¡«»¿À-ɏ‐-‧]*")
 #: White space other than single spaces and line ends between words.
 _OTHER_SPACES = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
-#: Entries that a worker remembers; about 200 bytes each.
-REMEMBERED_PIECES, REMEMBERED_CHUNKS = 1_000_000, 300_000
-BATCH_BYTES = 8 << 20
+#: Entries that a worker remembers.
+REMEMBERED_PIECES, REMEMBERED_CHUNKS = 100_000, 2_000_000
+BATCH_BYTES = 4 << 20
 
 
 def default_vocabulary() -> str:
@@ -48,22 +48,64 @@ class _Pieces(dict):
         return ids
 
 
-class _Chunks(dict):
-    """Ids of what stands between spaces.
+class _Chunks:
+    """Ids of what stands between spaces, by the hash of the chunk.
 
     The space before a chunk is part of it, unless the chunk begins a line
     (then with its line end) or a text (then with a zero character).
     """
 
     def __init__(self, pieces: _Pieces):
+        import numpy as np
+
         self.pieces = pieces
+        self.keys, self.begins, self.widths = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.ids = np.empty(0, "<u4")
 
-    def __missing__(self, chunk: str) -> bytes:
+    def encode(self, chunk: str) -> bytes:
         text = chunk if chunk[:1] == "\n" else chunk[1:] if chunk[:1] == "\0" else f" {chunk}"
-        ids = b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
-        if len(self) < REMEMBERED_CHUNKS:
-            self[chunk] = ids
-        return ids
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
+
+    def look_up(self, chunks):
+        """(ids, begins, widths): where the ids of each of some distinct chunks (an Arrow array) stand in ``ids``."""
+        import numpy as np
+        import pyarrow as pa
+
+        keys = _chunk_hashes(chunks)
+        at = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == keys[inside]
+        begins, widths = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
+        begins[known], widths[known] = self.begins[at[known]], self.widths[at[known]]
+        new = np.flatnonzero(~known)
+        raw = [*map(self.encode, chunks.take(pa.array(new)).to_pylist())]
+        widths[new] = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+        begins[new] = len(self.ids) + np.cumsum(widths[new]) - widths[new]
+        ids = np.concatenate([self.ids, np.frombuffer(b"".join(raw), "<u4")])
+        if len(self.keys) + len(new) <= REMEMBERED_CHUNKS:
+            all_keys = np.concatenate([self.keys, keys[new]])
+            order = np.argsort(all_keys, kind="stable")
+            self.ids, self.keys = ids, all_keys[order]
+            self.begins = np.concatenate([self.begins, begins[new]])[order]
+            self.widths = np.concatenate([self.widths, widths[new].astype(np.int32)])[order]
+        return ids, begins, widths
+
+
+def _chunk_hashes(chunks):
+    """64-bit hashes of an Arrow array of large strings."""
+    import numpy as np
+
+    from .shingles import _tables, mixed
+
+    bounds = np.frombuffer(chunks.buffers()[1], np.int64)[chunks.offset : chunks.offset + len(chunks) + 1]
+    first = int(bounds[0])
+    data = np.frombuffer(chunks.buffers()[2], np.uint8)[first : int(bounds[-1])]
+    up, down = _tables(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    starts, ends = bounds[:-1] - first, bounds[1:] - first
+    return mixed((sums[ends] - sums[starts]) * down[starts] ^ (ends - starts).astype(np.uint64))
 
 
 def _simple(text: str) -> bool:
@@ -121,10 +163,7 @@ class Encoder:
 
         lists = pc.split_pattern(pa.array(["\0" + x.replace("\n", " \n") for x in texts], pa.large_string()), " ")
         coded = lists.values.dictionary_encode()
-        ids = [*map(self.chunks.__getitem__, coded.dictionary.to_pylist())]
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        begins = np.cumsum(lengths) - lengths
+        flat, begins, lengths = self.chunks.look_up(coded.dictionary)
         chunk = coded.indices.to_numpy()
         width = lengths[chunk]
         ends = np.cumsum(width)
