@@ -99,13 +99,12 @@ def base_counts(df: DataFrame, text_col: str) -> DataFrame:
     return step.withColumn(name, counts).select(*[quoted(c) for c in df.columns], name)
 
 
-def frequent_lines(df: DataFrame, host_col: str, text_col: str, max_docs: int, max_share: float) -> DataFrame:
-    """(host, keys): hashes of the lines above both limits in a host."""
-    keys = F.transform(F.filter(F.split(whole_text(text_col), "\n"), has_word), line_key)
-    docs = df.select(F.col(quoted(host_col)).alias("host"), keys.alias("keys"))
-    docs = docs.select("host", F.array_distinct("keys").alias("keys"), F.xxhash64("keys").alias("content"))
-    totals = docs.where(F.size("keys") > 0).groupBy("host").agg(F.countDistinct("content").alias("docs"))
-    lines = docs.select("host", "content", F.explode("keys").alias("key"))
+def frequent_lines(docs: DataFrame, max_docs: int, max_share: float) -> DataFrame:
+    """(host, keys): hashes of the lines above both limits in a host, of rows (host, lines)."""
+    keyed = docs.select("host", F.transform("lines", lambda x: x["key"]).alias("keys"))
+    keyed = keyed.select("host", F.array_distinct("keys").alias("keys"), F.xxhash64("keys").alias("content"))
+    totals = keyed.where(F.size("keys") > 0).groupBy("host").agg(F.countDistinct("content").alias("docs"))
+    lines = keyed.select("host", "content", F.explode("keys").alias("key"))
     counted = lines.groupBy("host", "key").agg(F.countDistinct("content").alias("n"))
     above = counted.where(F.col("n") > max_docs).join(
         totals.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of"))
@@ -121,50 +120,58 @@ def judged(
     max_share: float = MAX_SHARE,
     depleted: float = DEPLETED,
     min_words: int = MIN_WORDS,
+    carry: list[str] | None = None,
 ) -> tuple[DataFrame, str]:
-    """``df`` with a struct column of counts and verdicts, and that column's name.
+    """The columns ``carry`` of ``df`` (all by default) with a struct column, and that column's name.
 
     The struct has n_words, word_chars, n_symbols, n_lines, n_dup_lines,
-    n_repeat_words, n_removed_words, clean_text, base_failed, depleted, kept.
+    n_repeat_words, n_removed_words, base_failed, depleted, kept, and ``frequent``,
+    the hashes of the host's removed lines, for ``clean_text``.  Counts and line
+    hashes are written once, so texts are read once.
     """
     scratch = Scratch(df.sparkSession, "quality")
-    found = scratch.keep(frequent_lines(df, host_col, text_col, max_docs, max_share), "frequent")
-    host, keys, verdict, lines, removed = (free_name(df, x) for x in ("_of", "_keys", "_verdict", "_lines", "_removed"))
-    found = found.select(F.col("host").alias(host), F.col("keys").alias(keys))
-    counted = base_counts(df, text_col)
-    base = counted.columns[-1]
-    step = counted.join(found, F.col(quoted(host_col)).eqNullSafe(F.col(host)), "left")
-
-    def gone(line: Column) -> Column:
-        return has_word(line) & F.array_contains(F.col(keys), line_key(line))
-
-    split = F.split(whole_text(text_col), "\n")
-    none = F.array().cast("array<string>")
-    step = step.withColumn(lines, F.when(F.col(keys).isNull(), none).otherwise(F.filter(split, gone)))
-    step = step.withColumn(removed, F.aggregate(lines, F.lit(0).cast("long"), lambda total, x: total + word_count(x)))
-    cleaned = F.when(F.size(lines) > 0, F.array_join(F.filter(split, lambda x: ~gone(x)), "\n")).otherwise(whole_text(text_col))
-    n, repeat = F.col(base)["n_words"], F.col(base)["n_repeat_words"]
+    carried = df.columns if carry is None else carry
+    verdict, lines_name, host_name = (free_name(df, x) for x in ("_verdict", "_lines", "_of"))
+    lines = F.transform(
+        F.filter(F.split(whole_text(text_col), "\n"), has_word),
+        lambda x: F.struct(line_key(x).alias("key"), word_count(x).alias("words")),
+    )
+    step = df.withColumn(lines_name, lines).withColumn(host_name, F.col(quoted(host_col)))
+    step = base_counts(step, text_col)
+    base = step.columns[-1]
+    step = scratch.keep(step.select(*[quoted(c) for c in carried], lines_name, host_name, base), "counted")
+    rows = step.select(F.col(host_name).alias("host"), F.col(lines_name).alias("lines"))
+    found = scratch.keep(frequent_lines(rows, max_docs, max_share), "frequent")
+    of, keys = free_name(step, "_host"), free_name(step, "_keys")
+    step = step.join(found.select(F.col("host").alias(of), F.col("keys").alias(keys)), F.col(host_name).eqNullSafe(F.col(of)), "left")
+    gone = F.filter(lines_name, lambda x: F.array_contains(F.col(keys), x["key"]))
+    removed = F.when(F.col(keys).isNull(), F.lit(0).cast("long")).otherwise(
+        F.aggregate(gone, F.lit(0).cast("long"), lambda total, x: total + x["words"])
+    )
+    step = step.withColumn(lines_name, removed)
+    n, repeat, removed = F.col(base)["n_words"], F.col(base)["n_repeat_words"], F.col(lines_name)
     failed = (n < min_words) | (100 * repeat > 50 * n)
-    empty = F.col(removed) > n * depleted
+    empty = removed > n * depleted
     parts = [F.col(base)[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")]
-    step = step.withColumn(
-        verdict,
-        F.struct(
-            *parts,
-            F.col(removed).alias("n_removed_words"),
-            cleaned.alias("clean_text"),
-            failed.alias("base_failed"),
-            empty.alias("depleted"),
-            (~failed & ~empty).alias("kept"),
-        ),
+    out = F.struct(
+        *parts,
+        removed.alias("n_removed_words"),
+        failed.alias("base_failed"),
+        empty.alias("depleted"),
+        (~failed & ~empty).alias("kept"),
+        F.col(keys).alias("frequent"),
     )
-    return step.select(*[quoted(c) for c in df.columns], verdict), verdict
+    return step.withColumn(verdict, out).select(*[quoted(c) for c in carried], verdict), verdict
+
+
+def clean_text(text_col: str, frequent: Column) -> Column:
+    """The text without the lines whose hashes are in ``frequent`` (null: none)."""
+    text = whole_text(text_col)
+    rest = F.filter(F.split(text, "\n"), lambda x: ~(has_word(x) & F.array_contains(frequent, line_key(x))))
+    return F.when(frequent.isNull(), text).otherwise(F.array_join(rest, "\n"))
 
 
 def keep_good(df: DataFrame, **rules) -> DataFrame:
     """The rows that pass, with the columns of ``df``."""
     out, verdict = judged(df, **rules)
-    kept = free_name(out, "_kept")
-    # a generator, as a filter would be pushed down and repeat the verdict's expressions many times over
-    out = out.withColumn(kept, F.explode(F.array(F.col(verdict)["kept"])))
-    return out.where(F.col(kept)).select(*[quoted(c) for c in df.columns])
+    return out.where(F.col(verdict)["kept"]).select(*[quoted(c) for c in df.columns])

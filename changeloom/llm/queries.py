@@ -48,7 +48,7 @@ def op3_warc_salvage(spark, sf_dir):
 
 
 def op4_quality_rules(spark, sf_dir):
-    out, verdict = judged(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    out, verdict = judged(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), carry=["doc_id"])
     v = F.col(verdict)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_removed_words")
     return out.select("doc_id", *[v[x].alias(x) for x in names])

@@ -94,8 +94,10 @@ def test_frequent_lines_and_copies(spark):
     rows += [(200, prose(600) + "\n" + foot, "other"), (201, None, "h"), (202, prose(601), None)]
     df = spark.createDataFrame([(*r, "d", "n") for r in rows], DOCS)
     out, v = quality.judged(df)
+    clean = {r.doc_id: r.clean for r in out.withColumn("clean", quality.clean_text("text", F.col(v)["frequent"])).collect()}
     got = {r.doc_id: r[v] for r in out.collect()}
-    assert all(got[i].depleted and not got[i].kept and got[i].clean_text == prose(i) for i in range(40))
+    assert all(got[i].depleted and not got[i].kept and clean[i] == prose(i) for i in range(40))
+    assert clean[202] == prose(601) and clean[201] == ""
     assert all(got[100 + i].kept for i in range(60)) and got[200].kept and got[202].kept
     assert got[201].base_failed and not got[201].kept
     kept = quality.keep_good(df)
