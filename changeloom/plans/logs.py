@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 
 import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..admin import store
@@ -14,7 +15,7 @@ from ..operators.flatten import flatten, project
 from ..operators.ordered import last_known
 from ..scratch import folder, ship
 from ..sinks.lake import LakeTable
-from ..sources import mysql, pgoutput, snapshot
+from ..sources import discovery, mysql, pgoutput, snapshot
 from ..streaming import runner
 from ..streaming.metrics import Metrics
 from .base import change_log, query, rows, table
@@ -53,6 +54,49 @@ def s06_primary_keys(spark, sf):
     return snapshot.primary_keys(att, cls, nsp, idx)
 
 
+@query("""select * from (values ('public', 'users', 'id', 'integer', 'Int', false, 1), ('public', 'users', 'name', 'character varying(20)', 'VarString(20)', true, 2),
+('shop', 'lines', 'price', 'numeric(10,2)', 'Decimal(10,2)', true, 1), ('shop', 'flags', 'on', 'tinyint(1)', 'Boolean', false, 1), ('shop', 'flags', 'n', 'int(11) unsigned', 'Int', true, 2),
+('public', 'users', 'gone', 'text', 'Text', true, 0)) t("schema", "table", name, source_type, canonical, nullable, ordinal)""")
+def e11_discovered_columns(spark, sf):
+    """Columns from both databases' catalogs, and one that the source does not have (s06, s23)."""
+    att = rows(spark, "attrelid int, attname string, attnum int, attnotnull boolean, attisdropped boolean, source_type string",
+        (1, "id", 1, True, False, "integer"), (1, "name", 2, False, False, "character varying(20)"), (1, "old", 3, False, True, "text"), (1, "ctid", -1, True, False, "tid"), (2, "price", 1, False, False, "numeric(10,2)"))
+    cls = rows(spark, "oid int, relname string, relnamespace int", (1, "users", 10), (2, "lines", 11))
+    nsp = rows(spark, "oid int, nspname string", (10, "public"), (11, "shop"))
+    own = rows(spark, "table_schema string, table_name string, column_name string, column_type string, is_nullable string, ordinal_position long",
+        ("shop", "flags", "on", "tinyint(1)", "NO", 1), ("shop", "flags", "n", "int(11) unsigned", "YES", 2))
+    known = discovery.pg_columns(att, cls, nsp).unionByName(discovery.mysql_columns(own))
+    names = known.select("schema", "table", "name").unionByName(rows(spark, "schema string, table string, name string", ("public", "users", "gone")))
+    return discovery.column_subset(names, known)
+
+
+@query("select * from (values ('pg', 'public', 'users', 'b,a'), ('my', 'shop', 'flags', 'on')) t(dialect, \"schema\", \"table\", keys)")
+def e11_discovered_keys(spark, sf):
+    shape = "table_schema string, table_name string, constraint_name string, column_name string, ordinal_position long"
+    usage = rows(spark, shape, ("public", "users", "users_pkey", "a", 2), ("public", "users", "users_pkey", "b", 1), ("public", "users", "users_c_key", "c", 1))
+    kinds = rows(spark, "table_schema string, table_name string, constraint_name string, constraint_type string", ("public", "users", "users_pkey", "PRIMARY KEY"), ("public", "users", "users_c_key", "UNIQUE"))
+    own = rows(spark, shape, ("shop", "flags", "PRIMARY", "on", 1), ("shop", "flags", "other", "n", 1))
+    pg, my = discovery.constraint_keys(usage, kinds), discovery.constraint_keys(own)
+    both = pg.withColumn("dialect", F.lit("pg")).unionByName(my.withColumn("dialect", F.lit("my")))
+    return both.select("dialect", "schema", "table", F.array_join("pk", ",").alias("keys"))
+
+
+_OBJECTS = {
+    "create": "SELECT lsn FROM pg_create_logical_replication_slot('it''s', 'pgoutput')",
+    "drop": "SELECT pg_drop_replication_slot('it''s')",
+    "info": "SELECT slot_name, plugin, confirmed_flush_lsn, active FROM pg_replication_slots WHERE slot_name = 'it''s'",
+    "all": 'CREATE PUBLICATION "p" FOR ALL TABLES',
+    "some": 'CREATE PUBLICATION "p""q" FOR TABLE "public"."users", "logs"',
+}
+
+
+@query("select * from (values " + ", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in _OBJECTS.items()) + ") t(kind, statement)")
+def s19_replication_objects(spark, sf):
+    """Statements for slots and publications (s19, s20)."""
+    made = discovery.slot_statements("it's") | {"all": discovery.ensured_publication("p", None, []), "some": discovery.publication_statement('p"q', ["public.users", "logs"])}
+    return rows(spark, "kind string, statement string", *made.items())
+
+
 def _wire(batches):
     """The change log as pgoutput messages: two relations, truncates of both."""
     P = pgoutput
@@ -177,6 +221,21 @@ def s27_binlog_rows(spark, sf):
     )
 
 
+@query("""with v as (select o_orderkey, o_orderkey % 9 as k from orders)
+select o_orderkey, case when k in (0, 2) then 'Int' when k = 1 then 'Bool' when k = 3 then 'Float' when k = 5 then 'Date' when k = 6 then 'Timestamp' when k = 7 then 'Time' else 'Text' end as type,
+case k when 1 then case when o_orderkey % 2 = 1 then 'true' else 'false' end when 3 then o_orderkey || '.5' when 4 then '1e5x' when 5 then '2024-01-31' when 6 then '2024-01-31 10:00:00'
+when 7 then '-25:00:00' when 8 then '[json_diff]' else cast(o_orderkey as varchar) end as value from v""")
+def s31_binlog_values(spark, sf):
+    """Binary log values of nine kinds."""
+    n = F.col("o_orderkey")
+    k, text = (n % 9).cast("int"), n.cast("string")
+    pick = lambda *xs: F.get(F.array(*[x if isinstance(x, Column) else F.lit(x) for x in xs]), k)
+    kind = pick("int", "int", "uint", "double", "bytes", "date", "date", "time", "json_diff")
+    value = pick(text, (n % 2).cast("string"), text, F.concat(text, F.lit(".5")), "1e5x", "2024-01-31", "2024-01-31 10:00:00", "-25:00:00", text)
+    c = mysql.binlog_cell(kind, value, F.when(k == 4, F.lit("double")), k == 1)
+    return table(spark, sf, "orders").select("o_orderkey", c.alias("c")).select("o_orderkey", "c.type", "c.value")
+
+
 @query("LOG select seq * 2 + 1 as seq, 'bin.000001:' || (seq * 2 + 1) as \"offset\" from cl where op = 'T'")
 def s26_binlog_commits(spark, sf):
     return mysql.commits(_binlog(spark, sf))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..envelope import CELL
+from ..functions.coerce import cell_null, mysql_cell, mysql_number
 from ..functions.names import fallback_names, truncated_table
 from ..operators.ordered import last_known
 
@@ -26,6 +27,34 @@ def with_files(log: DataFrame, span: int = 100_000) -> DataFrame:
     return last_known(log, F.when(F.col("kind") == "rotate", F.col("file")), "_file", span=span).withColumn("file", F.coalesce("_file", "file")).drop("_file")
 
 
+def binlog_cell(kind: Column, value: Column, column_type: Column, is_flag: Column) -> Column:
+    """Cell of a decoded binary log value given as its kind and its text.
+
+    Kinds: ``int``, ``uint``, ``double``, ``bytes`` (typed by ``column_type``, Text
+    where that is null), ``date``, ``time``, ``json``, and ``json_diff``, whose
+    partial update cannot be applied and is marked as such.  Numbers of flag
+    columns become Bool.
+    """
+    as_is = lambda tag: F.struct(F.lit(tag).alias("type"), value.alias("value"))
+    whole = mysql_number(value.try_cast("decimal(20,0)"), F.lit(False))
+    typed = F.when(column_type.isNull(), as_is("Text")).otherwise(mysql_cell(value, column_type))
+    day = F.when(value.contains(" "), as_is("Timestamp")).otherwise(as_is("Date"))
+    marked = F.struct(F.lit("Text").alias("type"), F.lit("[json_diff]").alias("value"))
+    found = (
+        F.when(kind == "json_diff", marked)
+        .when(value.isNull(), cell_null())
+        .when(kind == "int", as_is("Int"))
+        .when(kind == "uint", whole)
+        .when(kind == "double", as_is("Float"))
+        .when(kind == "bytes", typed)
+        .when(kind == "date", day)
+        .when(kind == "time", as_is("Time"))
+        .otherwise(as_is("Text"))
+    )
+    flag = F.struct(F.lit("Bool").alias("type"), (found["value"] != "0").cast("string").alias("value"))
+    return F.when(F.coalesce(is_flag, F.lit(False)) & (found["type"] == "Int"), flag).otherwise(found)
+
+
 def _named(names: Column, cells: Column) -> Column:
     enough = F.when(F.size(names) == F.size(cells), names).otherwise(fallback_names(F.size(cells)))
     return F.map_from_arrays(enough, cells)

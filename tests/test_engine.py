@@ -17,7 +17,7 @@ from changeloom.operators import evolve, fold, ordered
 from changeloom.operators.flatten import flatten
 from changeloom.sinks.lake import LakeTable
 from changeloom.sinks.out import SqliteState
-from changeloom.sources import mysql
+from changeloom.sources import discovery, mysql
 from changeloom.sources import pgoutput as pg
 from changeloom.sources.log import ChangeLogSource
 from changeloom.streaming import runner
@@ -200,6 +200,32 @@ def test_lake(spark, tmp_path):
         t.state(99)
 
 
+def test_publications():
+    assert discovery.ensured_publication("p", ["a.b"], []) is None
+    assert discovery.ensured_publication("p", ["a.b", "a.c"], ["a.c", "a.b"]) is None
+    with pytest.raises(ConfigError, match="missing"):
+        discovery.ensured_publication("p", ["a.b"], ["a.c"])
+    with pytest.raises(ConfigError, match="may not be created"):
+        discovery.ensured_publication("p", None, ["a.b"], create=False)
+
+
+def test_binlog_values(spark):
+    df = spark.createDataFrame(
+        [("uint", "18446744073709551615", None, False), ("int", "1", None, True), ("int", None, None, True), ("bytes", "12", "int(11)", False),
+         ("bytes", "12", None, False), ("json_diff", None, None, False), ("json", '{"a":1}', None, False), ("int", "7", None, None)],
+        "kind string, value string, type string, flag boolean",
+    )
+    made = df.select(mysql.binlog_cell(*[F.col(c) for c in df.columns]).alias("c")).select("c.*").collect()
+    assert [tuple(r) for r in made] == [
+        ("Text", "18446744073709551615"), ("Bool", "true"), ("Null", None), ("Int", "12"), ("Text", "12"), ("Text", "[json_diff]"), ("Text", '{"a":1}'), ("Int", "7"),
+    ]
+
+
+def test_flag_columns(spark):
+    columns = spark.createDataFrame([("s", "t", "a", "tinyint(1)"), ("s", "t", "b", "tinyint(4)")], "schema string, table string, name string, source_type string")
+    assert [r["name"] for r in discovery.flag_columns(columns).collect()] == ["a"]
+
+
 def test_schema_log():
     log, one = evolve.SchemaLog(), evolve.replication_schema({"id": "BigInt"}, ["id"])
     assert log.commit(one, -1) == 0
