@@ -6,12 +6,16 @@ task that runs again replaces whole files by the same bytes.  A payload of
 ``min_revisit`` bytes or more that several pages share is written once, with the
 smallest page id; the other pages get revisit records that refer to it.
 
-Reading.  A record must pass its checks: the member's CRC, the version line, the
-header, the content length, the blank lines after the block, and the payload's
-SHA-256.  After a failed check the reader searches for the next gzip member that
-begins with a version line, or the next version line of a plain archive, goes on
-from there, and logs the bytes in between as a quarantined gap.  Archives are
-read through Spark's binary file source, which opens whatever stores Spark can;
+Reading.  A record must pass its checks: the version line, the header, the content
+length, the blank lines after the block, and the payload's SHA-256.  After a
+failed check the reader searches for the next version line from which a record
+can be read, in the decoded bytes of the same gzip member or in a plain archive,
+goes on from there, and logs the bytes in between as a quarantined gap.  A member
+that is cut or damaged gives the records in front of the damage and a gap; if its
+deflate data or CRC is bad, a stated SHA-256 or SHA-1 must confirm each payload,
+and what has no payload, revisits, goes by its header alone (the gap with the same
+offset marks such records).  Behind it the reader goes on at the next member or
+version line that gives a record.  Archives are read through Spark's binary file source, which opens whatever stores Spark can;
 an archive is one row there, so foreign archives must be smaller than 2 GB.
 
 Defined results: a null payload counts as empty; null and repeated page ids are
@@ -36,6 +40,7 @@ ROLL_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 VERSION = b"WARC/1."
 GZIP = b"\x1f\x8b\x08"
+CUT = "truncated member"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 RECORDS = (
@@ -162,21 +167,36 @@ class Damaged(ValueError):
     """A check of a record failed."""
 
 
-def _member(data, at: int) -> tuple[bytes, int]:
-    """The gzip member at ``at`` and where it ends."""
+def _member(data, at: int) -> tuple[bytes, int, str | None]:
+    """What decodes of the gzip member at ``at``, where it or its decoding ends, and its damage, if any."""
     import zlib
 
     unpack, parts, end = zlib.decompressobj(31), [], at
     try:
         while not unpack.eof:
             if end >= len(data):
-                raise Damaged("truncated member")
+                return b"".join(parts), end, CUT
             chunk = bytes(data[end : end + 65536])
             parts.append(unpack.decompress(chunk))
             end += len(chunk) - len(unpack.unused_data)
     except zlib.error as e:
-        raise Damaged(f"bad member: {e}") from None
-    return b"".join(parts), end
+        return *_up_to_damage(data, at), f"bad member: {e}"
+    return b"".join(parts), end, None
+
+
+def _up_to_damage(data, at: int) -> tuple[bytes, int]:
+    """What decodes of a member that does not decode in full, in ever smaller steps, and where that ends."""
+    import zlib
+
+    unpack, parts, step = zlib.decompressobj(31), [], 65536
+    while step and at < len(data):
+        trial = unpack.copy()
+        try:
+            parts.append(trial.decompress(bytes(data[at : at + step])))
+            unpack, at = trial, at + step
+        except zlib.error:
+            step //= 16
+    return b"".join(parts), at
 
 
 def parse_record(raw: bytes, at: int = 0) -> tuple[dict, bytes, int]:
@@ -192,8 +212,10 @@ def parse_record(raw: bytes, at: int = 0) -> tuple[dict, bytes, int]:
         if not colon:
             raise Damaged("bad header line")
         headers[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
-    if not headers.get("content-length", "").isdigit():
+    if not re.fullmatch("[0-9]{1,18}", headers.get("content-length", "")):
         raise Damaged("no content length")
+    if not re.fullmatch("[0-9]{0,18}", headers.get("x-payload-length", "")):
+        raise Damaged("bad payload length")
     start = head_end + 4
     end = start + int(headers["content-length"])
     if raw[end : end + 4] != b"\r\n\r\n":
@@ -219,43 +241,100 @@ def _checked(headers: dict, block: bytes) -> tuple[bytes | None, str | None]:
     return payload, digest
 
 
-def _next_start(data, at: int) -> int:
-    """The next place at or after ``at`` where a record can be read in full, or the end."""
-    while at < len(data):
-        packed, plain = data.find(GZIP, at), data.find(VERSION, at)
+def _vouched(headers: dict, block: bytes, payload: bytes | None) -> bool:
+    """Whether a stated digest confirms a record of a member that does not decode in full; a revisit has no payload."""
+    import base64
+    import hashlib
+
+    if payload is None:
+        return True
+    for name, content in (("warc-payload-digest", payload), ("warc-block-digest", block)):
+        kind, _, stated = headers.get(name, "").lower().rpartition(":")
+        if (kind or "sha256") in ("sha1", "sha256"):
+            digest = hashlib.new(kind or "sha256", content).digest()
+            if stated in (digest.hex(), base64.b32encode(digest).decode().lower()):
+                return True
+    return False
+
+
+def _inside(raw: bytes, damage: str | None) -> Iterator[tuple]:
+    """(headers, payload, digest) of records in a member's decoded bytes, and (begin, reason) of what lies between."""
+
+    def read(at: int) -> tuple[tuple, int]:
+        headers, block, end = parse_record(raw, at)
+        payload, digest = _checked(headers, block)
+        if damage not in (None, CUT) and not _vouched(headers, block, payload):
+            raise Damaged("no digest confirms the record")
+        return (headers, payload, digest), end
+
+    at, begin, reason = 0, 0, None
+    while 0 <= at < len(raw):
+        try:
+            found, end = read(at)
+        except Damaged as e:
+            begin, reason = (at, str(e)) if reason is None else (begin, reason)
+            at = raw.find(VERSION, at + 1)
+            continue
+        if reason is not None:
+            yield begin, reason
+        yield found
+        at, reason = end, None
+    if damage is not None:
+        yield begin if reason is not None else len(raw), damage
+    elif reason is not None:
+        yield begin, reason
+
+
+def _next_start(data, at: int, plain_from: int) -> int:
+    """The next place at or after ``at`` (in plain text: ``plain_from``) where a record can be read, or the end."""
+    packed = plain = -2
+    while True:
+        if packed != -1 and packed < at:
+            packed = data.find(GZIP, at)
+        if plain != -1 and plain < max(at, plain_from):
+            plain = data.find(VERSION, max(at, plain_from))
         places = [x for x in (packed, plain) if x >= 0]
         if not places:
             return len(data)
         at = min(places)
         try:
-            raw, _ = _member(data, at) if at == packed else (data, 0)
-            headers, block, _ = parse_record(raw, 0 if at == packed else at)
-            _checked(headers, block)
-            return at
+            if at == packed:
+                raw, _, damage = _member(data, at)
+                if any(len(x) == 3 for x in _inside(raw, damage)):
+                    return at
+            else:
+                headers, block, _ = parse_record(data, at)
+                _checked(headers, block)
+                return at
         except Damaged:
-            at += 1
-    return len(data)
+            pass
+        at += 1
 
 
 def salvage(data: bytes) -> Iterator[tuple]:
-    """(offset, length, headers, payload, digest) of records and (offset, length, reason) of gaps."""
+    """(offset, length, headers, payload, digest) of records and (offset, length, reason) of gaps.
+
+    What is found inside a gzip member has the member's offset and length.
+    """
     at = 0
     while at < len(data):
-        try:
-            if data[at : at + 3] == GZIP:
-                raw, end = _member(data, at)
-                inner, found = 0, []
-                while inner < len(raw):
-                    headers, block, inner = parse_record(raw, inner)
-                    found.append((headers, *_checked(headers, block)))
-                yield from ((at, end - at, *x) for x in found)
-            else:
+        if data[at : at + 3] == GZIP:
+            raw, end, damage = _member(data, at)
+            if damage is not None:
+                end = _next_start(data, at + 1, end)
+            for found in _inside(raw, damage):
+                if len(found) == 3:
+                    yield at, end - at, *found
+                else:
+                    yield at, end - at, f"{found[1]}, from byte {found[0]} of the member"
+        else:
+            try:
                 headers, block, end = parse_record(data, at)
-                payload, digest = _checked(headers, block)
-                yield at, end - at, headers, payload, digest
-        except Damaged as e:
-            end = _next_start(data, at + 1)
-            yield at, end - at, str(e)
+                found = (headers, *_checked(headers, block))
+            except Damaged as e:
+                end = _next_start(data, at + 1, at + 1)
+                found = (str(e),)
+            yield at, end - at, *found
         at = end
 
 

@@ -292,6 +292,41 @@ def test_salvage(packed):
     assert sum(x[1] for x in found) == len(data)
 
 
+def ids_and_gaps(data):
+    found = list(warc.salvage(data))
+    return [int(x[2]["x-page-id"]) for x in found if len(x) == 5], [x for x in found if len(x) == 3]
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_salvage_inside_a_member(level):
+    raw = members(200)
+    starts = np.cumsum([0, *map(len, raw)]).tolist()
+    whole = gzip.compress(b"".join(raw), level)
+    assert ids_and_gaps(whole) == ([*range(200)], [])
+    plain = bytearray(b"".join(raw))
+    for i in (3, 4, 150):
+        plain[starts[i + 1] - 10] ^= 0xFF  # a payload
+    plain[starts[100]] ^= 0xFF  # a version line
+    two = gzip.compress(bytes(plain), level) + gzip.compress(raw[0], level)
+    ids, gaps = ids_and_gaps(two)
+    assert ids == [i for i in range(200) if i not in (3, 4, 100, 150)] + [0] and len(gaps) == 3
+    assert all(f"from byte {starts[i]} " in x[2] for i, x in zip((3, 100, 150), gaps, strict=True))
+    # the end is cut, the CRC fails, the deflate data is damaged; the member behind is found again
+    cut = whole[: len(whole) * 3 // 4]
+    ids, gaps = ids_and_gaps(cut)
+    assert 50 < len(ids) < 200 and ids == [*range(len(ids))] and len(gaps) == 1 and gaps[0][:2] == (0, len(cut))
+    wrong = bytearray(whole)
+    wrong[-8] ^= 0xFF
+    ids, gaps = ids_and_gaps(bytes(wrong) + gzip.compress(raw[7], level))
+    assert ids == [*range(200), 7] and [x[:2] for x in gaps] == [(0, len(whole))]
+    wrong = whole[: len(whole) // 2] + b"\xff" * 400 + whole[len(whole) // 2 + 400 :]
+    ids, gaps = ids_and_gaps(wrong + gzip.compress(raw[7], level))
+    assert len(ids) > 50 and len(set(ids[:-1])) == len(ids) - 1 and ids[-1] == 7 and gaps
+    # without a digest nothing vouches for a payload of a member that fails its CRC
+    bare = gzip.compress(b"".join(raw).replace(b"WARC-Payload-Digest", b"X-Other"), level)
+    assert len(ids_and_gaps(bare)[0]) == 200 and ids_and_gaps(bare[:-8] + b"12345678")[0] == []
+
+
 @given(st.binary(max_size=300))
 @settings(max_examples=60, deadline=None)
 def test_salvage_never_fails(noise):
