@@ -39,6 +39,7 @@ MIN_REVISIT = 100
 ROLL_BYTES = 16 << 20
 DATE = "2024-01-01T00:00:00Z"
 VERSION = b"WARC/1."
+HEADER_END = re.compile(rb"\r\n\r\n|\nWARC/1\.")
 GZIP = b"\x1f\x8b\x08"
 CUT = "truncated member"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -201,11 +202,12 @@ def _up_to_damage(data, at: int) -> tuple[bytes, int]:
 
 def parse_record(raw: bytes, at: int = 0) -> tuple[dict, bytes, int]:
     """(headers, block, end) of the record at ``at``."""
-    if raw[at : at + len(VERSION)] != VERSION:
+    if raw[at : at + len(VERSION)] != VERSION or raw.find(b"\r\n", at, at + 16) < 0:
         raise Damaged("no version line")
-    head_end = raw.find(b"\r\n\r\n", at, at + 65536)
-    if head_end < 0:
+    close = HEADER_END.search(raw, at)  # a header may be of any length, but ends before another version line
+    if close is None or close[0] != b"\r\n\r\n":
         raise Damaged("header without end")
+    head_end = close.start()
     headers = {}
     for line in raw[at:head_end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")

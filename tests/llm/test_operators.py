@@ -262,6 +262,27 @@ def test_archives(spark):
     assert warc.read_warc(spark, empty).count() == 0
 
 
+def test_archives_with_long_urls(spark):
+    long = "é" * 60
+    rows = [(1, "http://a/" + "x" * 100_000, long), (2, "http://a/" + " " * 40_000, long), (3, "http://a/" + "WARC/1.1 \n" * 9_000, "other")]
+    df = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, digest string")
+    folder = Scratch(spark, "test").path("warc")
+    warc.write_warc(df, folder)
+    got = {r.page_id: (r.kind, r.record_type, r.refers_to, len(r.target_uri or "")) for r in warc.read_warc(spark, folder).collect()}
+    assert got == {
+        "1": ("record", "response", None, 100_009), "2": ("record", "revisit", "1", 120_009), "3": ("record", "response", None, 9 + 9_000 * 14),
+    }
+
+
+def test_header_ends_before_the_next_version_line():
+    raw = members(4)
+    broken = raw[1][: raw[1].index(b"\r\n\r\n")] + b"\r\n"  # its blank line is gone
+    data = raw[0] + broken + raw[2] + raw[3]
+    assert [x[0] for x in warc.salvage(data)] == [0, len(raw[0]), len(raw[0] + broken), len(raw[0] + broken + raw[2])]
+    assert [len(x) for x in warc.salvage(data)] == [5, 3, 5, 5]
+    assert len(list(warc.salvage(b"WARC/1.1\r\n" * 200_000))) == 1
+
+
 def members(n):
     import hashlib
 
