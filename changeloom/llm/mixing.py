@@ -5,11 +5,15 @@ share all words of the corpus.  A target stops at ``most`` times its source's
 words and the excess is shared again by weight until no target is above: with
 sources sorted by limit over weight, a running sum finds the stopped ones.
 
-Quotas.  Each source's words are dealt by a seeded hash to shards of about
-``shard_rows`` documents.  Equal blocks of ``block_words`` words are apportioned
-to sources by Sainte-Lague (highest quotients target / (2 k + 1)), and each
-source's blocks to its shards in the same way, which gives every cell (source,
-shard) an integer quota.  Seats are not enumerated: all but a few of a unit's seats
+Quotas.  Documents are dealt by a seeded hash to shards of about ``shard_rows``
+documents.  A source's shards are joined to as many cells as its words fill with
+``CELL_BLOCKS`` blocks, one at least: a hot source is a cell for each shard, a small
+one a single cell.  Equal blocks of ``block_words`` words are apportioned to sources
+by Sainte-Lague (highest quotients target / (2 k + 1)), and each source's blocks to
+its cells in the same way, which gives every cell an integer quota.  A cell's own
+blocks are of about ``block_words`` words, and it misses its share by a few of them
+at most, which is little of ``CELL_BLOCKS``.  Documents without words stay in cells
+of their own, one for each shard.  Seats are not enumerated: all but a few of a unit's seats
 are certain from its share, and only the quotients for the rest are ranked.
 
 Selection.  In a cell the documents stand in seeded order as one stream of
@@ -38,6 +42,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK_WORDS = 16
 SHARD_ROWS = 20_000
+CELL_BLOCKS = 1024
 SEED = "mix-1"
 
 
@@ -108,6 +113,7 @@ def planned(
     most: int = MOST,
     block_words: int = BLOCK_WORDS,
     shard_rows: int = SHARD_ROWS,
+    cell_blocks: int = CELL_BLOCKS,
     seed: str = SEED,
 ) -> tuple[DataFrame, str]:
     """``df`` (which has the word counts in ``size``) with a struct column, and that column's name.
@@ -116,28 +122,32 @@ def planned(
     spans [a1, b1), [a2, b2) of the document that are taken once more.
     """
     scratch = Scratch(df.sparkSession, "mixing")
-    src, shard, order, plan, end = (free_name(df, x) for x in ("_src", "_shard", "_order", "_plan", "_end"))
+    src, shard, order, plan, end, cell_name = (free_name(df, x) for x in ("_src", "_shard", "_order", "_plan", "_end", "_cell"))
     words = F.col(quoted(size))
     name = F.col(quoted(source_col))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col(quoted(id_col)).cast("string"), words.cast("string")).cast("binary"))
     rows = df.count()
     shards = max(1, -(-rows // shard_rows))
     keyed = df.withColumn(src, F.when(name.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), name)))
-    keyed = keyed.withColumn(order, key).withColumn(shard, F.pmod(F.conv(F.substring(order, 1, 8), 16, 10).cast("long"), F.lit(shards)))
+    dealt = F.pmod(F.conv(F.substring(order, 1, 8), 16, 10).cast("long"), F.lit(shards))
+    keyed = keyed.withColumn(order, key).withColumn(shard, F.when(words > 0, dealt).otherwise(-1 - dealt))
 
     sums = scratch.keep(
-        keyed.groupBy(F.col(src).alias("key"), F.col(shard).alias("shard"), name.alias("src")).agg(F.sum(words).alias("cell_words")), "sums"
+        keyed.groupBy(F.col(src).alias("key"), F.col(shard).alias("shard"), name.alias("src")).agg(F.sum(words).alias("shard_words")), "sums"
     )
-    goal = targets(sums.groupBy("key", "src").agg(F.sum("cell_words").alias("words")).select("src", "words"), weights, most)
+    goal = targets(sums.groupBy("key", "src").agg(F.sum("shard_words").alias("words")).select("src", "words"), weights, most)
     goal = goal.withColumn("seats", F.floor(F.col("total") / block_words + 0.5).cast("long"))
     goal = apportioned(goal, [], "target", "seats", ["rank"], "blocks")
     goal = goal.withColumn("key", F.when(F.col("src").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("src"))))
-    cells = sums.select("key", "shard", "cell_words").join(goal.drop("src"), "key")
-    cells = apportioned(cells, ["key"], "cell_words", "blocks", ["shard"], "quota")
+    parts = F.least(F.lit(shards), F.greatest(F.lit(1), F.floor(F.col("words") / (block_words * cell_blocks)))).cast("long")
+    joined = F.when(F.col("shard") >= 0, F.floor(F.col("shard") * parts / shards)).otherwise(F.col("shard")).cast("long")
+    members = sums.select("key", "shard", "shard_words").join(goal.drop("src"), "key").withColumn("cell", joined)
+    cells = members.groupBy(*goal.drop("src").columns, "cell").agg(F.sum("shard_words").alias("cell_words"))
+    cells = apportioned(cells, ["key"], "cell_words", "blocks", ["cell"], "quota")
     n = F.greatest(F.lit(1), F.floor(F.col("cell_words") / block_words + 0.5).cast("long"))
     cells = cells.withColumn("cuts", n).withColumn("rounds", F.least(F.lit(most), F.floor(F.col("quota") / F.col("cuts"))).cast("long"))
     cells = cells.withColumn("run", F.when(F.col("rounds") < most, F.col("quota") - F.col("rounds") * F.col("cuts")).otherwise(0).cast("long"))
-    cells = cells.withColumn("from", _number(F.concat_ws(":", F.lit(seed), "key", F.col("shard").cast("string")).cast("binary"), F.col("cuts")))
+    cells = cells.withColumn("from", _number(F.concat_ws(":", F.lit(seed), "key", F.col("cell").cast("string")).cast("binary"), F.col("cuts")))
 
     def word(block: Column) -> Column:
         """The first word of a block."""
@@ -145,8 +155,8 @@ def planned(
 
     stop = F.col("from") + F.col("run")
     cells = cells.select(
-        F.col("key").alias(src),
-        F.col("shard").alias(shard),
+        "key",
+        "cell",
         F.struct(
             F.col("words").alias("source_size"),
             "target",
@@ -156,9 +166,10 @@ def planned(
             word(F.greatest(stop - F.col("cuts"), F.lit(0))).alias("y2"),
         ).alias(plan),
     )
+    cells = members.join(cells, ["key", "cell"]).select(F.col("key").alias(src), F.col("shard").alias(shard), F.col("cell").alias(cell_name), plan)
     cells = scratch.keep(cells, "cells")
-    stream = Window.partitionBy(src, shard).orderBy(order, F.col(quoted(id_col)), words)
-    placed = keyed.withColumn(end, F.sum(words).over(stream.rowsBetween(Window.unboundedPreceding, 0))).join(cells, [src, shard], "left")
+    stream = Window.partitionBy(src, cell_name).orderBy(order, F.col(quoted(id_col)), words)
+    placed = keyed.join(cells, [src, shard], "left").withColumn(end, F.sum(words).over(stream.rowsBetween(Window.unboundedPreceding, 0)))
     first, cell = F.col(end) - words, F.col(plan)
 
     def within(x: Column) -> Column:

@@ -172,6 +172,24 @@ def test_mix(spark):
     assert mixing.mixed(spark.createDataFrame([(1, None, None, "d", "n")], DOCS)).count() == 0
 
 
+def test_small_sources_of_short_texts_meet_their_targets(spark):
+    """The mix of a small source does not depend on the number of shards of the whole table."""
+    rng = random.Random(4)
+    text = lambda a, b: " ".join(["w"] * rng.randint(a, b))
+    rows = [(i, text(4, 8), "a") for i in range(500)] + [(i, text(2, 6), "b") for i in range(500, 900)]
+    rows += [(i, text(40, 80), "c") for i in range(900, 3900)] + [(i, "", "a") for i in range(3900, 4200)]
+    df = spark.createDataFrame([(*r, "d", "n") for r in rows], DOCS).withColumn("size", mixing.word_count(F.col("text")))
+    for shard_rows in (20_000, 7):
+        out, plan = mixing.planned(df, "size", shard_rows=shard_rows)
+        assert out.count() == len(rows)
+        p = F.col(plan)
+        sums = out.groupBy("source").agg(F.sum(p["taken"]).alias("taken"), F.max(p["target"]).alias("target"), F.max(p["source_size"]).alias("words"))
+        got = {r.source: r for r in sums.collect()}
+        assert got["a"].target == 3 * got["a"].words and got["b"].target == 3 * got["b"].words
+        for r in got.values():
+            assert abs(r.taken - r.target) <= 48 + 0.003 * r.target
+
+
 # packing
 
 
