@@ -25,8 +25,8 @@ five-word shingle sets; components of linked documents are the groups.
 5. Components of the links give each document the smallest id it reaches.
 
 Defined results: a null or empty text, or one of white space only, has no
-shingles and stands alone; rows with equal id count as one document with the
-same result; a null id is greater than all others; an empty table gives an empty
+shingles and stands alone; rows with equal id and text count as one document
+with the same result, rows with equal id and other texts as several; a null id is greater than all others; an empty table gives an empty
 result; other columns are left alone.
 """
 
@@ -35,7 +35,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, free_name, quoted, ship
@@ -70,7 +70,9 @@ def signature(shingles) -> bytes:
     return (mixed(least) >> np.uint64(48)).astype(np.uint16).tobytes()
 
 
-def _signed(id_type: pa.DataType):
+def _signed(carried: list[str]):
+    """Rows (id, text, columns to carry) with size, class and signature instead of the text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -84,8 +86,8 @@ def _signed(id_type: pa.DataType):
                 sets.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 signs.append(signature(found) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(signs, pa.binary())],
-                ["id", "n", "class", "sign"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sets, pa.binary()), pa.array(signs, pa.binary()), *batch.columns[2:]],
+                ["id", "n", "class", "sign", *carried],
             )
 
     return run
@@ -315,18 +317,16 @@ def _all_links(docs: DataFrame, classes: DataFrame, clumps: DataFrame, scratch:
     return scratch.keep(links.union(rest), "all-links")
 
 
-def near_copies(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, block: int = BLOCK
-) -> DataFrame:
-    """One row for each row of ``df``: id_col, n_shingles, component_id, kept."""
+def _decided(df: DataFrame, id_col: str, text_col: str, bucket: int, block: int, **carry: Column) -> DataFrame:
+    """One row for each row of ``df``: id, n_shingles, component_id, kept, and the binary columns ``carry``."""
     spark = df.sparkSession
     ship(spark)
     scratch = Scratch(spark, "minhash")
     kind = df.schema[id_col].dataType
     docs = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
-    signed = scratch.keep(
-        docs.mapInArrow(_signed(kind), f"id {kind.simpleString()}, n long, class binary, sign binary"), "signed"
-    )
+    rows = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).cast("string").alias("text"), *[c.alias(n) for n, c in carry.items()])
+    schema = f"id {kind.simpleString()}, n long, class binary, sign binary" + "".join(f", {n} binary" for n in carry)
+    signed = scratch.keep(rows.mapInArrow(_signed([*carry]), schema), "signed")
     classes = (
         signed.where("class is not null")
         .groupBy("class")
@@ -340,18 +340,30 @@ def near_copies(
     grouped_classes = grouped_classes.select("class", "least", F.coalesce("root", "node").alias("root"))
     smallest = grouped_classes.groupBy("root").agg(F.min("least").alias("component"))
     named = scratch.keep(grouped_classes.join(smallest, "root").select("class", "component"), "named")
-    out = signed.select("id", "n", "class").join(named, "class", "left")
+    out = signed.select("id", "n", "class", *carry).join(named, "class", "left")
     component = F.coalesce("component", "id")
     return out.select(
-        F.col("id").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        component.eqNullSafe(F.col("id")).alias("kept"),
+        "id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("id")).alias("kept"), *carry
     )
 
 
-def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` whose document stays: the smallest id of each component."""
-    gone = free_name(df, "_gone")
-    dropped = near_copies(df, id_col, text_col, **options).where("not kept").select(F.col(quoted(id_col)).alias(gone)).distinct()
-    return df.join(dropped, F.col(quoted(id_col)) == F.col(gone), "left_anti")
+def near_copies(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, block: int = BLOCK
+) -> DataFrame:
+    """One row for each row of ``df``: id_col, n_shingles, component_id, kept."""
+    out = _decided(df, id_col, text_col, bucket, block)
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
+
+
+def drop_near_copies(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket: int = BUCKET, block: int = BLOCK
+) -> DataFrame:
+    """The rows of ``df`` that stay: those with the smallest id of their component.
+
+    Rows go by id and text, since rows may share an id, or have none, with different texts.
+    """
+    gone, digest = free_name(df, "_gone"), free_name(df, "_digest")
+    own = F.unhex(F.md5(F.coalesce(F.col(quoted(text_col)).cast("string"), F.lit("")).cast("binary")))
+    decided = _decided(df, id_col, text_col, bucket, block, text_digest=own)
+    dropped = decided.where("not kept").select(F.col("id").alias(gone), F.col("text_digest").alias(digest)).distinct()
+    return df.join(dropped, F.col(quoted(id_col)).eqNullSafe(F.col(gone)) & (own == F.col(digest)), "left_anti")

@@ -138,3 +138,14 @@ def test_empty_null_and_repeated(spark):
     df = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a b c d e f"), (None, "x"), (2, None)], schema)
     rows = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in minhash.near_copies(df).collect())
     assert rows == [("1", "1", True), ("1", "1", True), ("2", "2", True), ("None", "1", False), ("None", "None", True)]
+
+
+def test_rows_that_share_an_id_or_have_none_go_by_their_text(spark):
+    own = lambda n: " ".join(f"w{n}x{k}" for k in range(80))
+    near = lambda n: own(n) + " more"
+    rows = [(3, own(1)), (7, near(1)), (7, own(2)), (8, near(2)), (None, near(2) + " again"), (None, own(3)), (9, own(4)), (9, own(4)), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = minhash.drop_near_copies(df)
+    assert kept.columns == df.columns
+    want = [(3, own(1)), (7, own(2)), (None, own(3)), (9, own(4)), (9, own(4)), (None, None)]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, want))
