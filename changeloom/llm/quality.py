@@ -171,7 +171,9 @@ def clean_text(text_col: str, frequent: Column) -> Column:
     return F.when(frequent.isNull(), text).otherwise(F.array_join(rest, "\n"))
 
 
-def keep_good(df: DataFrame, **rules) -> DataFrame:
-    """The rows that pass, with the columns of ``df``."""
-    out, verdict = judged(df, **rules)
-    return out.where(F.col(verdict)["kept"]).select(*[quoted(c) for c in df.columns])
+def keep_good(df: DataFrame, text_col: str = "text", **rules) -> DataFrame:
+    """The rows that pass, with the columns of ``df``; their texts without the removed lines."""
+    out, verdict = judged(df, text_col=text_col, **rules)
+    v = F.col(verdict)
+    text = F.when(v["n_removed_words"] > 0, clean_text(text_col, v["frequent"])).otherwise(F.col(quoted(text_col)))
+    return out.where(v["kept"]).select(*[text.alias(c) if c == text_col else quoted(c) for c in df.columns])

@@ -19,8 +19,8 @@ from changeloom.llm.queries import pack_documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go; the others stay as they are."""
-    return keep_good(docs)
+    """Documents that the rules reject go, and the lines above the limits go from the others."""
+    return keep_good(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

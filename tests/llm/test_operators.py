@@ -105,6 +105,20 @@ def test_frequent_lines_and_copies(spark):
     assert quality.keep_good(df.limit(0)).count() == 0
 
 
+def test_kept_documents_lose_the_lines_above_the_limits(spark):
+    import corpus_pipeline as cp
+
+    prose = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    rows = [(i, f"{prose(i)}\n Share  this\n\nend {i}", "h", 0) for i in range(40)]
+    rows += [(50, prose(50) + "\nShare this", "other", 0), (51, "Share this", "h", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int")
+    out = cp.quality_rules(spark, df, "")
+    assert out.schema["n_chars"].dataType == df.schema["n_chars"].dataType and out.columns == df.columns
+    want = {i: f"{prose(i)}\n\nend {i}" for i in range(40)} | {50: prose(50) + "\nShare this"}
+    got = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
 # mixing
 
 
