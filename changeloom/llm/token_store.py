@@ -11,7 +11,8 @@ and Bloom filters on the document id, so that
 
 A row holds its file's number, the ids before it in the file and its own ids;
 the start in the whole corpus is that offset plus the totals of earlier files,
-one number for each file.
+one number for each file, which stand in the folder ``_totals`` of the store, so
+a lookup reads no more than the rows it asks for.
 
 Defined results: a null text counts as empty; an empty document is its end token
 alone; null ids come last; rows with equal id stand in order of their text; an
@@ -30,10 +31,10 @@ from .common import quoted, ship, whole_text
 from .tokens import default_vocabulary
 
 END = 0
+#: Hidden from readers of the store, as its name begins with an underscore.
+TOTALS = "_totals"
 STRIPE_BYTES = 16 << 20
 STRIDE = 1000
-#: Rows of one Arrow batch, which bounds a task's memory.
-ROWS = 2048
 
 
 def _encoded(vocabulary: str):
@@ -41,17 +42,17 @@ def _encoded(vocabulary: str):
         import numpy as np
         from pyspark import TaskContext
 
-        from .tokens import encoder
+        from .tokens import encoder, sliced
 
         encode, end = encoder(vocabulary).batch, END.to_bytes(4, "little")
         part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS):
-                rows = batch.slice(at, ROWS)
+            for rows in sliced(batch):
                 ids = [x + end for x in encode(rows.column(1).to_pylist())]
                 sizes = np.array([len(x) // 4 for x in ids], np.int64)
                 ends = np.cumsum(sizes)
-                values = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
+                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                del ids
                 offsets = pa.array(np.concatenate([[0], ends]).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -94,12 +95,14 @@ def write_tokens(
         .option("orc.bloom.filter.fpp", 0.01)
         .orc(path)
     )
+    sums = df.sparkSession.read.orc(path).groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    sums.coalesce(1).write.mode("overwrite").orc(f"{path}/{TOTALS}")
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens, ids of a store."""
     rows = spark.read.orc(path)
-    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
+    totals = spark.read.schema("file int, n long").orc(f"{path}/{TOTALS}")
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select("file", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     # one row for each file, whatever the files hold

@@ -6,6 +6,11 @@ remembered, up to a fixed number of pieces in each Python worker; a piece that
 is not remembered goes through the library's model.  Texts with characters
 outside a plain Latin set go through the whole tokenizer, since other Unicode
 versions may cut them differently.  All three ways give the library's ids.
+
+Memory is bounded by bytes: the tables stop growing at a fixed size, and texts
+are worked on in slices of about ``SLICE_CHARS``.  A longer text is cut before
+single spaces between words, where the pre-tokenizer always cuts; a text without
+such a place is one slice.
 """
 
 from __future__ import annotations
@@ -17,9 +22,13 @@ _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)
 _PLAIN = re.compile(r"[\t\n\r\x20-\x7E¡«»¿À-ɏ‐-‧]*")
 #: White space other than single spaces and line ends between words.
 _OTHER_SPACES = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
-#: Entries that a worker remembers.
-REMEMBERED_PIECES, REMEMBERED_CHUNKS = 100_000, 2_000_000
-BATCH_BYTES = 4 << 20
+#: A place where every text can be cut: the space belongs to the word behind it.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Entries that a worker remembers, about 60 bytes each for chunks and 250 for pieces.
+REMEMBERED_PIECES, REMEMBERED_CHUNKS = 50_000, 1_000_000
+#: Chunks wait in a list of new ones, at most so many, before they join the table.
+NEW_CHUNKS = 50_000
+SLICE_CHARS = 1 << 20
 
 
 def default_vocabulary() -> str:
@@ -52,22 +61,25 @@ class _Chunks:
     """Ids of what stands between spaces, by the hash of the chunk.
 
     The space before a chunk is part of it, unless the chunk begins a line
-    (then with its line end) or a text (then with a zero character).
+    (then with its line end) or a text (then with a zero character).  The table
+    is a sorted array of hashes with the places of their ids in one long array.
     """
 
     def __init__(self, pieces: _Pieces):
         import numpy as np
 
         self.pieces = pieces
-        self.keys, self.begins, self.widths = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.keys, self.begins, self.widths = np.empty(0, np.uint64), np.empty(0, np.int32), np.empty(0, np.int32)
         self.ids = np.empty(0, "<u4")
+        self.new: list[tuple] = []
+        self.waiting = 0
 
     def encode(self, chunk: str) -> bytes:
         text = chunk if chunk[:1] == "\n" else chunk[1:] if chunk[:1] == "\0" else f" {chunk}"
         return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
 
     def look_up(self, chunks):
-        """(ids, begins, widths): where the ids of each of some distinct chunks (an Arrow array) stand in ``ids``."""
+        """(ids, begins, widths): the ids of some distinct chunks (an Arrow array), and where those of each stand."""
         import numpy as np
         import pyarrow as pa
 
@@ -76,20 +88,45 @@ class _Chunks:
         known = np.zeros(len(keys), bool)
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == keys[inside]
-        begins, widths = np.empty(len(keys), np.int64), np.empty(len(keys), np.int64)
-        begins[known], widths[known] = self.begins[at[known]], self.widths[at[known]]
+        at = at[known]
+        begins, widths = np.empty(len(keys), np.int32), np.empty(len(keys), np.int32)
         new = np.flatnonzero(~known)
         raw = [*map(self.encode, chunks.take(pa.array(new)).to_pylist())]
-        widths[new] = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-        begins[new] = len(self.ids) + np.cumsum(widths[new]) - widths[new]
-        ids = np.concatenate([self.ids, np.frombuffer(b"".join(raw), "<u4")])
-        if len(self.keys) + len(new) <= REMEMBERED_CHUNKS:
-            all_keys = np.concatenate([self.keys, keys[new]])
-            order = np.argsort(all_keys, kind="stable")
-            self.ids, self.keys = ids, all_keys[order]
-            self.begins = np.concatenate([self.begins, begins[new]])[order]
-            self.widths = np.concatenate([self.widths, widths[new].astype(np.int32)])[order]
-        return ids, begins, widths
+        widths[new] = np.fromiter(map(len, raw), np.int32, len(raw)) >> 2
+        made = np.frombuffer(b"".join(raw), "<u4")
+        begins[new] = np.cumsum(widths[new]) - widths[new]
+        widths[known] = self.widths[at]
+        old_ends = np.cumsum(widths[known])
+        begins[known] = len(made) + old_ends - widths[known]
+        old = self.ids[_runs(self.begins[at], widths[known])]
+        if len(self.keys) + self.waiting + len(new) <= REMEMBERED_CHUNKS:
+            self.new.append((keys[new], widths[new], made))
+            self.waiting += len(new)
+            if self.waiting >= NEW_CHUNKS:
+                self.settle()
+        return np.concatenate([made, old]), begins, widths
+
+    def settle(self) -> None:
+        """Move the new chunks into the table."""
+        import numpy as np
+
+        keys, first = np.unique(np.concatenate([x[0] for x in self.new]), return_index=True)
+        widths, ids = np.concatenate([x[1] for x in self.new]), np.concatenate([x[2] for x in self.new])
+        begins = (len(self.ids) + np.cumsum(widths) - widths).astype(np.int32)
+        place = np.searchsorted(self.keys, keys)
+        self.begins = np.insert(self.begins, place, begins[first])
+        self.widths = np.insert(self.widths, place, widths[first])
+        self.keys = np.insert(self.keys, place, keys)
+        self.ids = np.concatenate([self.ids, ids])
+        self.new, self.waiting = [], 0
+
+
+def _runs(begins, widths):
+    """The positions of runs that begin at ``begins`` and are ``widths`` long, one after the other."""
+    import numpy as np
+
+    ends = np.cumsum(widths, dtype=np.int32)
+    return np.repeat(begins - (ends - widths), widths) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
 
 
 def _chunk_hashes(chunks):
@@ -110,7 +147,16 @@ def _chunk_hashes(chunks):
 
 def _simple(text: str) -> bool:
     """Whether chunks between spaces can be encoded one by one."""
-    return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in _OTHER_SPACES)
+    return bool(text) and text[0] != "\n" and text[-1] not in " \n" and not any(x in text for x in _OTHER_SPACES)
+
+
+def slices(text: str) -> list[str]:
+    """``text`` in slices that can be encoded one by one."""
+    out, at = [], 0
+    while len(text) - at > SLICE_CHARS and (cut := _CUT.search(text, at + SLICE_CHARS)):
+        out.append(text[at : cut.start()])
+        at = cut.start()
+    return [*out, text[at:]]
 
 
 class Encoder:
@@ -131,30 +177,33 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def __call__(self, text: str) -> bytes:
+        return b"".join(map(self._one, slices(text)))
+
+    def _one(self, text: str) -> bytes:
         if not _PLAIN.fullmatch(text):
             return self.whole(text)
         return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text)))
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
-        out: list[bytes] = [b""] * len(texts)
+        cut = [slices(text) for text in texts]
+        parts = [part for own in cut for part in own]
+        done: list[bytes] = [b""] * len(parts)
         todo, size = [], 0
-        for i, text in enumerate(texts):
-            if not _PLAIN.fullmatch(text):
-                out[i] = self.whole(text)
-            elif _simple(text):
-                todo.append(i)
-                size += len(text)
+        for k, part in enumerate(parts):
+            if not _PLAIN.fullmatch(part):
+                done[k] = self.whole(part)
+            elif _simple(part):
+                todo.append(k)
+                size += len(part)
             else:
-                out[i] = self(text)
-            if todo and (size >= BATCH_BYTES or i == len(texts) - 1):
-                for k, ids in zip(todo, self._gathered([texts[k] for k in todo]), strict=True):
-                    out[k] = ids
+                done[k] = self._one(part)
+            if todo and (size >= SLICE_CHARS or k == len(parts) - 1):
+                for one, ids in zip(todo, self._gathered([parts[one] for one in todo]), strict=True):
+                    done[one] = ids
                 todo, size = [], 0
-        if todo:
-            for k, ids in zip(todo, self._gathered([texts[k] for k in todo]), strict=True):
-                out[k] = ids
-        return out
+        found = iter(done)
+        return [next(found) if len(own) == 1 else b"".join(next(found) for _ in own) for own in cut]
 
     def _gathered(self, texts: list[str]) -> list[bytes]:
         import numpy as np
@@ -163,16 +212,28 @@ class Encoder:
 
         lists = pc.split_pattern(pa.array(["\0" + x.replace("\n", " \n") for x in texts], pa.large_string()), " ")
         coded = lists.values.dictionary_encode()
-        flat, begins, lengths = self.chunks.look_up(coded.dictionary)
+        flat, begins, widths = self.chunks.look_up(coded.dictionary)
         chunk = coded.indices.to_numpy()
-        width = lengths[chunk]
-        ends = np.cumsum(width)
-        tokens = flat[np.repeat(begins[chunk] - (ends - width), width) + np.arange(ends[-1])]
-        cuts = np.concatenate([[0], ends])[lists.offsets.to_numpy()]
-        raw = tokens.tobytes()
+        width = widths[chunk]
+        raw = flat[_runs(begins[chunk], width)].tobytes()
+        cuts = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])[lists.offsets.to_numpy()]
         return [raw[4 * a : 4 * b] for a, b in zip(cuts.tolist(), cuts[1:].tolist(), strict=False)]
 
 
+def sliced(batch):
+    """Slices of a batch whose texts (column 1) have about SLICE_CHARS bytes, one row at least."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(sizes[at - 1]) if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, before + SLICE_CHARS, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 _encoders: dict[str, Encoder] = {}
 
 
