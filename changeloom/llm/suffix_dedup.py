@@ -12,11 +12,16 @@ array is sparse, by a rule that loses nothing:
    equal strings hold anchors at equal offsets, followed by 201 bytes or more of
    the string.  Anchors whose next 201 bytes occur once (counted by hash, over
    the corpus) are set aside.
+   Equal texts are one text here; all bytes of a text that has copies go.
 2. *Suffix array.*  The suffixes at the remaining anchors, up to 400 bytes with
    the 199 bytes before them, are range-partitioned by their leading bytes with
-   sampled splitters.  Each bucket sorts its suffixes by multikey quicksort and
-   takes common prefixes of neighbours.  Splitters are prefixes of 201 bytes, so
-   neighbours in two buckets share fewer than 201 bytes and no match crosses.
+   sampled splitters, into as many partitions as their number asks for.  Spark
+   sorts a partition by 201 bytes, spilling if it must; buckets of about
+   ``BUCKET`` suffixes are cut from it between different 201-byte prefixes, so a
+   task's memory does not grow with its partition.  A bucket sorts its suffixes by
+   multikey quicksort, takes common prefixes of neighbours, and compares its first
+   suffix with the last one of the bucket before: these share fewer than 201 bytes,
+   as splitters are prefixes of 201 bytes too, and no match crosses.
 3. *Spans.*  If two anchors agree on ``a`` bytes before and ``b`` bytes from them
    on, and ``a + b >= 400``, then [anchor - a, anchor + b) is covered at both.
    The union over partners is given by the greatest ``a`` and the greatest ``b``
@@ -30,7 +35,8 @@ array is sparse, by a rule that loses nothing:
 
 Defined results: a null text counts as empty; texts under 400 bytes keep all
 their bytes; repeated rows repeat each other's strings, so they lose them all;
-a null id is carried along; an empty table gives an empty result.
+a null id is carried along; an empty table gives an empty result; columns other
+than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -48,7 +54,12 @@ WINDOW = 200
 GRAM = 16
 SHARED = LENGTH - WINDOW + 1
 GROUP = 20_000
+BUCKET = 16_384
+#: Suffixes of a partition of the range partitioning.
+PARTITION = 1 << 16
 CHUNK = 1 << 20
+#: End of a span that covers all of a text.
+ALL = 1 << 62
 
 
 def _gram_hashes(data):
@@ -88,31 +99,21 @@ def anchors(data):
     return found[found + SHARED <= len(data)]
 
 
-def _name(key, text) -> bytes:
-    """A name for a row that is the same in each pass: equal rows share it."""
-    import xxhash
-
-    h = xxhash.xxh3_128(b"\x00" if key is None else f"\x01{key}".encode())
-    h.update(b"\x00")
-    h.update(text)
-    return h.digest()
-
-
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(name, places, hashes) of each document that can hold a match."""
+    """(name, places, hashes) of each text that can hold a match; equal texts share a name."""
     import numpy as np
     import xxhash
 
     digest = xxhash.xxh3_64_intdigest
     for batch in batches:
         names, places, hashes = [], [], []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for text in batch.column(0):
             raw = text.as_buffer()
             if raw.size < LENGTH:
                 continue
             found = anchors(np.frombuffer(raw, np.uint8))
             view = memoryview(raw)
-            names.append(_name(key, raw))
+            names.append(xxhash.xxh3_128_digest(raw))
             places.append(found.astype(np.int32))
             hashes.append(np.array([digest(view[p : p + SHARED]) for p in found.tolist()], np.uint64).view(np.int64))
         yield pa.RecordBatch.from_arrays(
@@ -123,17 +124,35 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, name, packed text) of each row."""
+    import xxhash
     import zstandard
 
     pack = zstandard.ZstdCompressor(level=1).compress
     for batch in batches:
         raws = [t.as_buffer() for t in batch.column(1)]
-        names = [_name(k, r) for k, r in zip(batch.column(0).to_pylist(), raws, strict=True)]
+        names = [xxhash.xxh3_128_digest(r) for r in raws]
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array(names, pa.binary()), pa.array([pack(r) for r in raws], pa.binary())], ["id", "name", "packed"]
         )
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(name, packed text) of the texts that can hold a match, each at most once for each task."""
+    import xxhash
+    import zstandard
+
+    pack, seen = zstandard.ZstdCompressor(level=1).compress, set()
+    for batch in batches:
+        names, texts = [], []
+        for text in batch.column(0):
+            raw = text.as_buffer()
+            if raw.size >= LENGTH and (name := xxhash.xxh3_128_digest(raw)) not in seen:
+                seen.add(name)
+                names.append(name)
+                texts.append(pack(raw))
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(texts, pa.binary())], ["name", "packed"])
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(context, doc, place, hash, suffix, prefix) of each anchor that may match.
 
@@ -286,23 +305,38 @@ def reaches(suffixes: list[bytes], prefixes: list[bytes], counts):
     return best_a, best_b
 
 
-def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(context, a, b) of the contexts of one bucket that match elsewhere."""
-    import numpy as np
-
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list, list, list]]:
+    """Contexts, suffixes, prefixes and counts of about BUCKET suffixes, from rows in order of their 201-byte prefixes."""
     seen: dict[bytes, list] = {}
+    rows, head = 0, b""
     for batch in batches:
         for context, suffix, prefix in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if rows >= BUCKET and suffix[:SHARED] != head:
+                yield [*seen], *map(list, zip(*seen.values(), strict=True))
+                seen, rows = {}, 0
+            rows, head = rows + 1, suffix[:SHARED]
             if context in seen:
                 seen[context][2] += 1
             else:
                 seen[context] = [suffix, prefix, 1]
-    a, b = reaches([x[0] for x in seen.values()], [x[1] for x in seen.values()], [x[2] for x in seen.values()])
-    hit = np.flatnonzero(b)
-    names = list(seen)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([names[i] for i in hit.tolist()], pa.binary()), pa.array(a[hit]), pa.array(b[hit])], ["context", "a", "b"]
-    )
+    if seen:
+        yield [*seen], *map(list, zip(*seen.values(), strict=True))
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(context, a, b) of the contexts of a partition that match elsewhere."""
+    import numpy as np
+
+    last = None
+    for names, suffixes, prefixes, counts in _buckets(batches):
+        if last is not None and last[:SHARED] == min(suffixes)[:SHARED]:
+            raise ValueError("a match crosses two buckets")
+        last = max(suffixes)
+        a, b = reaches(suffixes, prefixes, counts)
+        hit = np.flatnonzero(b)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([names[i] for i in hit.tolist()], pa.binary()), pa.array(a[hit]), pa.array(b[hit])], ["context", "a", "b"]
+        )
 
 
 def _strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +375,7 @@ def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes, removed, spans, kept, sums = [], [], [], [], []
         for packed, found in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             text = unpack(packed)
-            runs = merged([(x["from"], x["to"]) for x in found or ()])
+            runs = merged([(x["from"], min(x["to"], len(text))) for x in found or ()])
             ends = [0, *(b for _, b in runs)]
             rest = b"".join(text[a:b] for a, b in zip(ends, [*(a for a, _ in runs), len(text)], strict=True))
             sizes.append(len(text))
@@ -361,7 +395,9 @@ def _matches(hits: DataFrame, scratch: Scratch, group: int) -> DataFrame:
     shown = hits.where("suffix is not null")
     large = scratch.keep(shown.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > group), "large")
     small = shown.join(large.select("hash"), "hash", "left_anti").select("context", "suffix", "prefix")
-    buckets = small.repartitionByRange(F.substring("suffix", 1, SHARED)).mapInArrow(_bucket, "context binary, a long, b long")
+    head = F.substring("suffix", 1, SHARED)
+    partitions = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), shown.count() // PARTITION + 1)
+    buckets = small.repartitionByRange(partitions, head).sortWithinPartitions(head).mapInArrow(_matched, "context binary, a long, b long")
     if large.isEmpty():
         return buckets
     wide = shown.join(large.select("hash"), "hash", "left_semi").select("context", "suffix", "prefix")
@@ -379,7 +415,9 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scratch = Scratch(spark, "suffix")
     kind = df.schema[id_col].dataType.simpleString()
     docs = df.select(F.col(quoted(id_col)).alias("id"), whole_text(text_col).cast("binary").alias("text"))
-    found = docs.mapInArrow(_anchored, "name binary, places array<int>, hashes array<long>")
+    rows = docs.select("text").mapInArrow(_anchored, "name binary, places array<int>, hashes array<long>")
+    # copies are counted map-side and go on as one text
+    found = rows.groupBy("name").agg(F.first("places").alias("places"), F.first("hashes").alias("hashes"), F.count("*").alias("copies"))
     found = scratch.keep(found.withColumn("doc", F.monotonically_increasing_id()), "anchors")
     each = found.select("doc", F.explode(F.arrays_zip("places", "hashes")).alias("x"))
     each = each.select("doc", F.col("x.places").alias("place"), F.col("x.hashes").alias("hash"))
@@ -387,8 +425,8 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     twice = scratch.keep(each.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"), "twice")
     hits = each.join(twice, "hash").groupBy("doc").agg(F.collect_list(F.struct("place", "hash")).alias("hits"))
     hits = scratch.keep(hits.join(found.select("doc", "name"), "doc"), "hits")
-    texts = docs.mapInArrow(_packed, f"id {kind}, name binary, packed binary")
-    met = texts.select("name", "packed").join(hits, "name").groupBy("doc").agg(F.first("packed").alias("packed"), F.first("hits").alias("hits"))
+    texts = docs.select("text").mapInArrow(_once, "name binary, packed binary")
+    met = texts.join(hits, "name").groupBy("doc").agg(F.first("packed").alias("packed"), F.first("hits").alias("hits"))
     schema = "context binary, doc long, place int, hash long, suffix binary, prefix binary"
     hits = scratch.keep(met.mapInArrow(_contexts, schema), "contexts")
     scratch.drop("hits")
@@ -396,9 +434,11 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     matches = scratch.keep(_matches(hits, scratch, group).groupBy("context").agg(F.max("a").alias("a"), F.max("b").alias("b")), "matches")
     spans = hits.select("context", "doc", "place").join(matches, "context")
     span = F.struct((F.col("place") - F.col("a")).alias("from"), (F.col("place") + F.col("b")).alias("to"))
-    spans = spans.groupBy("doc").agg(F.collect_list(span).alias("spans")).join(found.select("doc", "name"), "doc")
-    spans = scratch.keep(spans.groupBy("name").agg(F.first("spans").alias("spans")), "spans")
+    spans = spans.groupBy("doc").agg(F.collect_list(span).alias("spans")).join(found.where("copies = 1").select("doc", "name"), "doc")
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.lit(ALL).alias("to"))).alias("spans")
+    spans = scratch.keep(spans.select("name", "spans").union(found.where("copies > 1").select("name", whole)), "spans")
     scratch.drop("contexts")
+    texts = docs.mapInArrow(_packed, f"id {kind}, name binary, packed binary")
     out = texts.join(spans, "name", "left").select("id", "packed", "spans")
     row = f"id {kind}, n_bytes long, n_removed long, spans array<struct<`from`:long,`to`:long>>, kept_sha256 string, kept binary"
     return out.mapInArrow(_stripped, row)
