@@ -11,7 +11,9 @@ UTF-8.  Three steps:
 2. candidates are counted exactly, which verifies them and finds their winner;
    this table, bounded by ``counters + 1`` rows, is broadcast, so rows of heavy
    digests are settled map-side and never meet in one task;
-3. all other digests, each on a small share of the rows, are shuffled as usual.
+3. all other digests, each on a small share of the rows, are shuffled as usual:
+   counts and winners are aggregated map-side, and those of digests on several
+   rows are joined back, a join whose hot keys Spark splits.
 
 Defined results: a null text counts as empty; an empty text is a text like any
 other; a null id sorts after every other id; of rows with equal text and equal
@@ -72,8 +74,13 @@ def heavy_digests(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
     )
 
 
+def _first():
+    """The row that stays: the smallest id, null after all others."""
+    return F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+
+
 def _settled(spark, df: DataFrame, id_col: str, text_col: str, counters: int):
-    """(keys of all rows, exact winners of the heavy digests), both written."""
+    """(scratch, keys of all rows, exact winners of the heavy digests), both tables written."""
     ship(spark)
     scratch = Scratch(spark, "exact")
     keys = scratch.keep(
@@ -82,32 +89,29 @@ def _settled(spark, df: DataFrame, id_col: str, text_col: str, counters: int):
         ),
         "keys",
     )
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
     heavy = scratch.keep(
         keys.join(F.broadcast(heavy_digests(keys, counters)), "digest")
         .groupBy("digest")
-        .agg(F.count("*").alias("n"), first.alias("first"))
+        .agg(F.count("*").alias("n"), _first())
         .where("n > 1"),
         "heavy",
     )
-    return keys, heavy
+    return scratch, keys, heavy
 
 
 def exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
     """One row for each row of ``df``: id_col, keep_id, group_size, kept, text_sha256."""
-    keys, heavy = _settled(df.sparkSession, df, id_col, text_col, counters)
+    scratch, keys, heavy = _settled(df.sparkSession, df, id_col, text_col, counters)
     marked = keys.join(F.broadcast(heavy), "digest", "left")
-    group = Window.partitionBy("digest")
-    ordinary = (
-        marked.where(F.col("n").isNull())
-        .withColumn("n", F.count("*").over(group))
-        .withColumn("first", F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).over(group))
-    )
-    return marked.where(F.col("n").isNotNull()).unionByName(ordinary).select(
+    rest = marked.where(F.col("n").isNull()).drop("n", "first")
+    several = scratch.keep(rest.groupBy("digest").agg(F.count("*").alias("n"), _first()).where("n > 1"), "several")
+    rows = marked.where(F.col("n").isNotNull()).unionByName(rest.join(several, "digest", "left"))
+    alone = F.col("n").isNull()
+    return rows.select(
         F.col("id").alias(id_col),
-        F.col("first.id").alias("keep_id"),
-        F.col("n").alias("group_size"),
-        (F.col("row") == F.col("first.row")).alias("kept"),
+        F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("keep_id"),
+        F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("row") == F.col("first.row"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
     )
 
@@ -118,7 +122,7 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Rows of heavy digests other than the winner go before the shuffle; what is
     left has few rows for each digest.
     """
-    _, heavy = _settled(df.sparkSession, df, id_col, text_col, counters)
+    _, _, heavy = _settled(df.sparkSession, df, id_col, text_col, counters)
     digest, winner, rank = (free_name(df, x) for x in ("_digest", "_winner", "_rank"))
     heavy = heavy.select(F.col("digest").alias(digest), F.struct(F.col("first.id").alias("id")).alias(winner))
     rows = df.withColumn(digest, text_digest(text_col)).join(F.broadcast(heavy), digest, "left")
