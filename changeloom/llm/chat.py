@@ -10,7 +10,9 @@ The output of a conversation is a list of text segments, each with a loss flag;
 the formatted string is their concatenation.  Inside roles and texts, each
 backslash is doubled and a backslash is put behind the first character of each
 control string, so no text can forge a mark; removing a backslash before any
-character, but one of two, is the inverse.
+character, but one of two, is the inverse.  A template is valid only if no control
+string holds another or begins with what another ends with: then no mark can arise
+from the end of a text and the beginning of a mark, and the output reads back.
 
 Turns of one conversation meet in one row, as its output is one string.
 
@@ -64,6 +66,12 @@ class Template:
         bad = [c for c in self.controls if len(c) < 2 or "\\" in c]
         if bad or not (self.open and self.middle and self.close):
             raise ValueError(f"control strings need two characters or more and no backslash: {bad}")
+        if len({self.open, self.middle, self.close}) < 3:
+            raise ValueError("the marks of a turn must differ")
+        for a in self.controls:
+            for b in self.controls:
+                if (a != b and a in b) or any(a.endswith(b[:n]) for n in range(1, min(len(a), len(b)))):
+                    raise ValueError(f"control strings overlap: {a!r} and {b!r}")
 
 
 def _literal(text: str) -> str:
