@@ -1,8 +1,10 @@
 """WARC archives: a writer with revisit records, and a reader that salvages.
 
 Writing.  Each record is a gzip member of its own; a task writes archives of
-about ``roll_bytes`` to a temporary name and renames them when complete, so a
-task that runs again replaces whole files by the same bytes.  A payload of
+about ``roll_bytes`` to a temporary name and renames them when complete.  Rows are
+sorted inside partitions by all that a record holds, so a task that runs again, or
+twice at once, rolls at the same rows and replaces whole files by the same bytes.
+(In stores without atomic renames a reader should wait for the manifest.)  A payload of
 ``min_revisit`` bytes or more that several pages share is written once, with the
 smallest page id; the other pages get revisit records that refer to it.
 
@@ -160,6 +162,7 @@ def write_warc(
         first.alias("first"),
         "n",
     )
+    marked = marked.sortWithinPartitions("page_id", "digest", "first", "url", "n")
     manifest = marked.mapInArrow(_written(folder, roll_bytes, level), "archive string, records long, bytes long")
     return scratch.keep(manifest, "manifest")
 
@@ -168,6 +171,34 @@ class Damaged(ValueError):
     """A check of a record failed."""
 
 
+class _Zeros:
+    """The next zero byte of some data, found once for all places before it."""
+
+    def __init__(self, data):
+        self.data, self.asked, self.found = data, len(data) + 1, -1
+
+    def after(self, at: int) -> int:
+        if at < self.asked or 0 <= self.found < at:
+            self.asked, self.found = at, self.data.find(b"\0", at)
+        return self.found
+
+
+def _has_header(data, at: int, zeros: _Zeros) -> bool:
+    """Whether a gzip header at ``at`` ends inside the data, so that false marks cost no search through all of it."""
+    flags = data[at + 3] if at + 10 <= len(data) else 0xE0
+    if flags & 0xE0:
+        return False
+    at += 10
+    if flags & 4:
+        at += 2 + int.from_bytes(data[at : at + 2], "little")
+    for named in (8, 16):
+        if flags & named:
+            if (zero := zeros.after(at)) < 0:
+                return False
+            at = zero + 1
+    return at < len(data)
+
+
 def _member(data, at: int) -> tuple[bytes, int, str | None]:
     """What decodes of the gzip member at ``at``, where it or its decoding ends, and its damage, if any."""
     import zlib
@@ -287,7 +318,7 @@ def _inside(raw: bytes, damage: str | None) -> Iterator[tuple]:
         yield begin, reason
 
 
-def _next_start(data, at: int, plain_from: int) -> int:
+def _next_start(data, at: int, plain_from: int, zeros: _Zeros) -> int:
     """The next place at or after ``at`` (in plain text: ``plain_from``) where a record can be read, or the end."""
     packed = plain = -2
     while True:
@@ -301,9 +332,10 @@ def _next_start(data, at: int, plain_from: int) -> int:
         at = min(places)
         try:
             if at == packed:
-                raw, _, damage = _member(data, at)
-                if any(len(x) == 3 for x in _inside(raw, damage)):
-                    return at
+                if _has_header(data, at, zeros):
+                    raw, _, damage = _member(data, at)
+                    if any(len(x) == 3 for x in _inside(raw, damage)):
+                        return at
             else:
                 headers, block, _ = parse_record(data, at)
                 _checked(headers, block)
@@ -318,12 +350,12 @@ def salvage(data: bytes) -> Iterator[tuple]:
 
     What is found inside a gzip member has the member's offset and length.
     """
-    at = 0
+    at, zeros = 0, _Zeros(data)
     while at < len(data):
         if data[at : at + 3] == GZIP:
             raw, end, damage = _member(data, at)
             if damage is not None:
-                end = _next_start(data, at + 1, end)
+                end = _next_start(data, at + 1, end, zeros)
             for found in _inside(raw, damage):
                 if len(found) == 3:
                     yield at, end - at, *found
@@ -334,7 +366,7 @@ def salvage(data: bytes) -> Iterator[tuple]:
                 headers, block, end = parse_record(data, at)
                 found = (headers, *_checked(headers, block))
             except Damaged as e:
-                end = _next_start(data, at + 1, at + 1)
+                end = _next_start(data, at + 1, at + 1, zeros)
                 found = (str(e),)
             yield at, end - at, *found
         at = end
