@@ -5,13 +5,12 @@ lines, and words inside three-word windows that occur twice or more.  The
 cross-document rule hashes each normalised line (lower case, trimmed, white
 space collapsed), counts the distinct documents of a host that contain it, and
 removes lines above both limits: more than ``max_docs`` documents, and more than
-``max_share`` of the host's distinct documents.  A document that loses more than
+``max_share`` of the host's documents.  A document that loses more than
 ``depleted`` of its words is rejected.
 
-Distinct documents are told apart by content, so the copies of one document
-count once and a copied document is not taken for boilerplate.  Counting is by
-(host, line, content), aggregated map-side before each of its two shuffles; the
-limits bound a host's removed lines by the lines of an average document divided
+Documents are told apart by id (``by_content=True``: by their lines, so that the
+copies of a document count once).  Counting is by (host, line, document),
+aggregated map-side before each of its two shuffles; the limits bound a host's removed lines by the lines of an average document divided
 by ``max_share``, so they travel as one array for each host.
 
 Repeated windows: each window becomes one long, its hash with the low bits
@@ -21,7 +20,7 @@ text's words and needs no shuffle.
 
 Defined results: a null or empty text has no words and fails the base rules; a
 null host is a host of its own; repeated rows get the same verdict and count
-once; an empty table gives an empty result; other columns are left alone.
+once; rows without id count once for each content; an empty table gives an empty result; other columns are left alone.
 """
 
 from __future__ import annotations
@@ -100,12 +99,10 @@ def base_counts(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def frequent_lines(docs: DataFrame, max_docs: int, max_share: float) -> DataFrame:
-    """(host, keys): hashes of the lines above both limits in a host, of rows (host, lines)."""
-    keyed = docs.select("host", F.transform("lines", lambda x: x["key"]).alias("keys"))
-    keyed = keyed.select("host", F.array_distinct("keys").alias("keys"), F.xxhash64("keys").alias("content"))
-    totals = keyed.where(F.size("keys") > 0).groupBy("host").agg(F.countDistinct("content").alias("docs"))
-    lines = keyed.select("host", "content", F.explode("keys").alias("key"))
-    counted = lines.groupBy("host", "key").agg(F.countDistinct("content").alias("n"))
+    """(host, keys): hashes of the lines above both limits in a host, of rows (host, doc, keys)."""
+    totals = docs.where(F.size("keys") > 0).groupBy("host").agg(F.countDistinct("doc").alias("docs"))
+    lines = docs.select("host", "doc", F.explode("keys").alias("key"))
+    counted = lines.groupBy("host", "key").agg(F.countDistinct("doc").alias("n"))
     above = counted.where(F.col("n") > max_docs).join(
         totals.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of"))
     )
@@ -120,6 +117,8 @@ def judged(
     max_share: float = MAX_SHARE,
     depleted: float = DEPLETED,
     min_words: int = MIN_WORDS,
+    id_col: str = "doc_id",
+    by_content: bool = False,
     carry: list[str] | None = None,
 ) -> tuple[DataFrame, str]:
     """The columns ``carry`` of ``df`` (all by default) with a struct column, and that column's name.
@@ -131,16 +130,21 @@ def judged(
     """
     scratch = Scratch(df.sparkSession, "quality")
     carried = df.columns if carry is None else carry
-    verdict, lines_name, host_name = (free_name(df, x) for x in ("_verdict", "_lines", "_of"))
+    verdict, lines_name, host_name, id_name = (free_name(df, x) for x in ("_verdict", "_lines", "_of", "_id"))
     lines = F.transform(
         F.filter(F.split(whole_text(text_col), "\n"), has_word),
         lambda x: F.struct(line_key(x).alias("key"), word_count(x).alias("words")),
     )
     step = df.withColumn(lines_name, lines).withColumn(host_name, F.col(quoted(host_col)))
+    step = step.withColumn(id_name, F.lit(None).cast("long") if by_content else F.xxhash64(F.col(quoted(id_col))))
+    if not by_content:
+        step = step.withColumn(id_name, F.when(F.col(quoted(id_col)).isNotNull(), F.col(id_name)))
     step = base_counts(step, text_col)
     base = step.columns[-1]
-    step = scratch.keep(step.select(*[quoted(c) for c in carried], lines_name, host_name, base), "counted")
-    rows = step.select(F.col(host_name).alias("host"), F.col(lines_name).alias("lines"))
+    step = scratch.keep(step.select(*[quoted(c) for c in carried], lines_name, host_name, id_name, base), "counted")
+    keys = F.array_distinct(F.transform(F.col(lines_name), lambda x: x["key"]))
+    rows = step.select(F.col(host_name).alias("host"), F.col(id_name).alias("id"), keys.alias("keys"))
+    rows = rows.select("host", F.coalesce("id", F.xxhash64("keys")).alias("doc"), "keys")
     found = scratch.keep(frequent_lines(rows, max_docs, max_share), "frequent")
     of, keys = free_name(step, "_host"), free_name(step, "_keys")
     step = step.join(found.select(F.col("host").alias(of), F.col("keys").alias(keys)), F.col(host_name).eqNullSafe(F.col(of)), "left")

@@ -43,10 +43,8 @@ from f
 
 OP4 = f"""
 with {_LINES},
-contents as (select doc_id, source, string_agg(key, chr(10) order by pos) as content from keyed where worded group by doc_id, source),
-pages as (select source, count(distinct content) as docs from contents group by source),
-counted as (
-  select k.source, k.key, count(distinct c.content) as n from keyed k join contents c using (doc_id) where k.worded group by 1, 2),
+pages as (select source, count(distinct doc_id) as docs from keyed where worded group by source),
+counted as (select source, key, count(distinct doc_id) as n from keyed where worded group by 1, 2),
 bad as (select c.source, c.key from counted c join pages p on c.source is not distinct from p.source
         where c.n > 20 and c.n > p.docs * 0.02),
 gone as (
