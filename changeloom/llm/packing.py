@@ -9,6 +9,11 @@ with the least weighted residual norm after placement wins (``rule="norm"``), or
 the one with the greatest weighted dot product of demand and residual
 (``rule="dot"``).  Ties go to the sequence opened first.
 
+The capacity for documents is ``DOCUMENTS`` by default, or four times the pieces
+that a sequence holds on average where that is more: it binds where short pieces
+would crowd in one sequence, and adds no sequences.  The capacity for attention
+cost defaults to that of one full piece, the least that takes every piece.
+
 Pieces are dealt by a hash of their row to shards of about ``shard_rows``
 pieces, which are packed apart; a shard bounds a task's memory and leaves a few
 sequences partly filled, so the waste is a fixed small share of the corpus at any
@@ -29,13 +34,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, quoted, ship, whole_text
+from .common import Scratch, free_name, quoted, ship, whole_text
 from .tokens import default_vocabulary
 
 TOKENS = 2048
+DOCUMENTS = 64
 SHARD_ROWS = 8192
 END = 0
-WEIGHTS = (1.0, 1e-3, 1e-3)
+WEIGHTS = (1.0, 0.05, 0.05)
 
 
 def pieces_of(length: int, most: int) -> list[tuple[int, int]]:
@@ -49,12 +55,11 @@ def _cut(vocabulary: str, most: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        from .tokens import encoder
+        from .tokens import encoder, sliced
 
         encode, end = encoder(vocabulary).batch, END.to_bytes(4, "little")
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for part in sliced(batch):
                 rows, pieces, starts, lengths, sums, ids = [], [], [], [], [], []
                 for row, all_ids in enumerate(encode(part.column(1).to_pylist())):
                     all_ids += end
@@ -137,25 +142,27 @@ def packed(
     weights=WEIGHTS,
     shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
-    """``pieces`` (with a column ``length``) with sequence_id and offset.
-
-    ``documents`` and ``attention`` default to what ``tokens`` implies, so that
-    only tokens bind.
-    """
+    """``pieces`` (with a column ``length``, and none named sequence_id or offset) with sequence_id and offset."""
+    if clash := {"sequence_id", "offset"} & {c.lower() for c in pieces.columns}:
+        raise ValueError(f"columns that packing adds are there already: {sorted(clash)}")
     spark = pieces.sparkSession
     scratch = Scratch(spark, "packing")
-    limits = (tokens, documents or tokens, attention or tokens * tokens)
-    tagged = scratch.keep(pieces.withColumn("tag", F.monotonically_increasing_id()), "pieces")
-    shards = max(1, -(-tagged.count() // shard_rows))
+    tag = free_name(pieces, "tag")
+    tagged = scratch.keep(pieces.withColumn(tag, F.monotonically_increasing_id()), "pieces")
+    rows, total = tagged.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    shards = max(1, -(-rows // shard_rows))
+    crowd = max(DOCUMENTS, 4 * -(-rows // max(1, -(-total // tokens))))
+    limits = (tokens, documents or crowd, attention or tokens * tokens)
 
     def pack(rows):
         rows = rows.sort_values(["length", "tag"], ascending=[False, True], ignore_index=True)
         bins, offsets = best_fit(rows["length"].to_numpy(), *limits, rule, weights)
         return rows.assign(sequence_id=(rows["shard"].to_numpy() << 32) + bins, offset=offsets)[["tag", "sequence_id", "offset"]]
 
-    shard = F.pmod(F.xxhash64("tag"), F.lit(shards)).alias("shard")
-    placed = tagged.select("tag", "length", shard).groupBy("shard").applyInPandas(pack, "tag long, sequence_id long, offset long")
-    return tagged.join(placed, "tag").drop("tag")
+    own = F.col(quoted(tag)).alias("tag")
+    shard = F.pmod(F.xxhash64(own), F.lit(shards)).alias("shard")
+    placed = tagged.select(own, "length", shard).groupBy("shard").applyInPandas(pack, "tag long, sequence_id long, offset long")
+    return tagged.join(placed.withColumnRenamed("tag", tag), tag).select(*map(quoted, pieces.columns), "sequence_id", "offset")
 
 
 def sequences(placed: DataFrame) -> DataFrame:
