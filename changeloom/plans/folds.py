@@ -25,6 +25,28 @@ def d09_composite_key(spark, sf):
     return out.withColumnRenamed("at", "seq")
 
 
+_TABLES = "LOG , t as (select *, 't' || (user_id % 5) as tab, user_id // 5 as id from cl), b as (select *, coalesce(max(case when op = 'T' then seq end) over (partition by tab), -1) as barrier from t)"
+
+
+def _tables_log(spark, sf):
+    log = change_log(spark, sf)
+    return log.withColumn("tab", F.concat(F.lit("t"), (F.col("user_id") % 5).cast("string"))).withColumn("id", F.floor(F.col("user_id") / 5).cast("long"))
+
+
+@query(_TABLES + ", r as (select *, row_number() over (partition by tab, id order by seq desc) as rn from b where seq > barrier and op <> 'T') select tab, id, event_type, value from r where rn = 1 and op <> 'D'")
+def d09_fold_of_tables(spark, sf):
+    """Several tables in one log: equal keys of two tables are two rows, and each table has its own truncates."""
+    return fold.sequential_fold(_tables_log(spark, sf), ["id"], ["event_type", "value"], tables=["tab"])
+
+
+@query(_TABLES + """, live as (select * from b where seq > barrier and op <> 'T'),
+del as (select tab, id, max(batch_id) as del_batch from live where op in ('D', 'U') group by 1, 2)
+select l.tab, l.id, l.event_type, l.value from live l left join del using (tab, id)
+where l.op in ('I', 'U', 'S') and (del.del_batch is null or del.del_batch <= l.batch_id)""")
+def d10_delta_of_tables(spark, sf):
+    return fold.delta_apply(_tables_log(spark, sf), ["id"], ["event_type", "value"], tables=["tab"])
+
+
 @query(_BARRIER + """, live as (select * from b where seq > barrier and op <> 'T'),
 del as (select user_id, max(batch_id) as del_batch from live where op in ('D', 'U') group by user_id)
 select l.user_id, l.event_type, l.value from live l left join del on del.user_id = l.user_id
@@ -102,32 +124,27 @@ def d12_replication_data(spark, sf):
     return project(change_events(spark, sf).where(F.col("op").isin("I", "U", "S")), COLUMNS).drop("seq", "op")
 
 
-_TYPED = """'{"values":{"event_type":"' || event_type || '","user_id":' || user_id || '},"types":{"event_type":"Text","user_id":"Int"}}'"""
-
-
-def _plain_events(spark, sf):
-    """Events without numbers whose text depends on the engine."""
-    log = change_events(spark, sf)
-    return log.withColumn("new", F.map_filter("new", lambda k, v: k != "value")).withColumn("old", F.lit(None).cast(log.schema["old"].dataType))
+_NEW = """case when op in ('I', 'U') then '{"values":{"event_type":"' || event_type || '","user_id":' || user_id || ',"value":' || cast(value as varchar) || '},"types":{"event_type":"Text","user_id":"Int","value":"Float"}}' end"""
+_OLD = """case when op in ('U', 'D') then '{"values":{"user_id":' || user_id || ',"value":' || coalesce(cast(old_value as varchar), 'null') || '},"types":{"user_id":"Int","value":"' || case when old_value is null then 'Null' else 'Float' end || '"}}' end"""
 
 
-@query(f"""LOG select op, xid * 256 as lsn, epoch_us(ts) as timestamp_us, false as snapshot, case when op in ('I', 'U') then {_TYPED} end as row_new,
-cast(null as varchar) as row_old, '["user_id"]' as primary_key_columns from cl""")
+@query(f"""LOG select op, xid * 256 as lsn, epoch_us(ts) as timestamp_us, false as snapshot, {_NEW} as row_new,
+{_OLD} as row_old, '["user_id"]' as primary_key_columns from cl""")
 def d13_fixed_json(spark, sf):
-    return fixed(_plain_events(spark, sf))
+    return fixed(change_events(spark, sf))
 
 
-_ENVELOPE = f"""'{{"metadata":{{"op":"' || op || '","lsn":' || xid * 256 || ',"timestamp_us":' || epoch_us(ts) || ',"snapshot":false,"schema":"public","table":"events","primary_key_columns":["user_id"]}},"new":' || coalesce(case when op in ('I', 'U') then {_TYPED} end, 'null') || ',"old":null}}'"""
+_ENVELOPE = f"""'{{"metadata":{{"op":"' || op || '","lsn":' || xid * 256 || ',"timestamp_us":' || epoch_us(ts) || ',"snapshot":false,"schema":"public","table":"events","primary_key_columns":["user_id"]}},"new":' || coalesce({_NEW}, 'null') || ',"old":' || coalesce({_OLD}, 'null') || '}}'"""
 
 
 @query(f"LOG select {_ENVELOPE} as value from cl")
 def k02_json_lines(spark, sf):
-    return json_lines(_plain_events(spark, sf))
+    return json_lines(change_events(spark, sf))
 
 
 @query(f"LOG select 'cdc.public.events' as topic, 'public.events' as key, {_ENVELOPE} as value from cl")
 def k03_topic_key(spark, sf):
-    return queue_records(_plain_events(spark, sf), "cdc")
+    return queue_records(change_events(spark, sf), "cdc")
 
 
 @query("""LOG , ch as (select *, row_number() over (partition by user_id order by seq desc) as rn from cl where op in ('I', 'U')),
