@@ -6,8 +6,9 @@ frames they write are made here and tested without them.
 
 from __future__ import annotations
 
-import sqlite3
 from collections.abc import Iterable
+from contextlib import closing
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from ..envelope import META, OLD
 from ..functions.names import message_key, topic
 from ..functions.values import event_json
+from ..operators import merge
 
 #: PostgreSQL types of the metadata columns, in order.
 META_TYPES = ["text", "bigint", "bigint", "boolean", "text", "text", "text"]
@@ -36,11 +38,17 @@ def queue_records(log: DataFrame, prefix: str) -> DataFrame:
 
 
 def write_queue(log: DataFrame, prefix: str, servers: str, **options: str) -> None:
+    """Events as messages; ``queue_sink`` calls it for each batch of a stream."""
     extra = {"kafka.request.timeout.ms": "5000", "kafka.delivery.timeout.ms": "30000"} | options
     queue_records(log, prefix).write.format("kafka").option("kafka.bootstrap.servers", servers).options(**extra).save()
 
 
+def queue_sink(prefix: str, servers: str, **options: str):
+    return lambda batch, number: write_queue(batch, prefix, servers, **options)
+
+
 def write_database(flat: DataFrame, url: str, table: str, **options: str) -> None:
+    """Rows appended to a database table by Spark's JDBC writer, from all executors at once."""
     flat.write.format("jdbc").options(url=url, dbtable=table, **options).mode("append").save()
 
 
@@ -95,27 +103,139 @@ def delete_sql(target: str, pk: list[str], kinds: dict[str, str]) -> str:
     return f"DELETE FROM {target} WHERE " + " AND ".join(f"{_q(c)} = {_cast(i, c, kinds)}" for i, c in enumerate(pk, 1))
 
 
-class SqliteState:
-    """Replication into a SQLite file: a batch's folded changes in one transaction.
+class DatabaseTarget:
+    """Tables of a database that speaks SQL through a DB-API connection.
 
-    For small targets and tests of the apply order; a batch arrives folded to at
-    most one change per key, and rows stream through ``toLocalIterator``.
+    ``connect`` opens a connection; ``mark`` is the placeholder of its driver; a
+    dialect with ``ON CONFLICT`` is expected (PostgreSQL, SQLite).  DDL comes first
+    and commits for itself.  Then a batch is one transaction: folded changes go to
+    a staging table in blocks, deletes and upserts are one statement each, and the
+    number of the batch is kept, so a repeated batch changes nothing.  ``stage``
+    may load the staging table in another way, such as Spark's JDBC writer, which
+    writes from all executors at once.
     """
 
-    def __init__(self, path: str, table: str, columns: list[str], pk: list[str]):
-        self.path, self.table, self.columns, self.pk = path, table, columns, pk
-        with sqlite3.connect(path) as db:
-            db.execute(f"CREATE TABLE IF NOT EXISTS {_q(table)} ({', '.join(map(_q, columns))}, PRIMARY KEY ({', '.join(map(_q, pk))}))")
-
-    def apply(self, changes: DataFrame, truncate: bool = False) -> None:
-        """``changes``: op and the columns, one row for each key."""
-        marks = ", ".join("?" * len(self.columns))
-        where = " AND ".join(f"{_q(c)} = ?" for c in self.pk)
-        with sqlite3.connect(self.path) as db:
-            if truncate:
-                db.execute(f"DELETE FROM {_q(self.table)}")
-            for r in changes.select("op", *self.columns).toLocalIterator():
-                if r.op == "D":
-                    db.execute(f"DELETE FROM {_q(self.table)} WHERE {where}", [r[c] for c in self.pk])
+    BLOCK = 5000
+    APPLIED = "_changeloom_applied"
+
+    def __init__(self, connect, mark: str = "?", stage=None):
+        self.connect, self.mark, self.stage = connect, mark, stage
+
+    def _columns(self, cursor, table: str) -> list[str] | None:
+        """Columns of a table, none if it is not there."""
+        try:
+            cursor.execute(f"SELECT * FROM {_q(table)} WHERE 1 = 0")
+        except Exception:
+            return None
+        return [d[0] for d in cursor.description]
+
+    def _run(self, *statements: str) -> None:
+        with closing(self.connect()) as db:
+            cursor = db.cursor()
+            for one in statements:
+                cursor.execute(one)
+            db.commit()
+
+    def columns(self, table: str) -> list[str] | None:
+        with closing(self.connect()) as db:
+            return self._columns(db.cursor(), table)
+
+    def ensure(self, table: str, columns: dict[str, str], pk: list[str] = ()) -> list[str]:
+        """The table's columns; it is created if it is not there."""
+        known = self.columns(table)
+        if known is not None:
+            return known
+        parts = [f"{_q(c)} {k}" for c, k in columns.items()] + ([f"PRIMARY KEY ({', '.join(map(_q, pk))})"] if pk else [])
+        self._run(f"CREATE TABLE IF NOT EXISTS {_q(table)} ({', '.join(parts)})")
+        return [*columns]
+
+    def evolve(self, table: str, added: dict[str, str], dropped: Iterable[str] = ()) -> None:
+        """New columns, then dropped ones; what is done already is passed over."""
+        known = set(self.columns(table) or ())
+        more = [f"ALTER TABLE {_q(table)} ADD COLUMN {_q(c)} {k}" for c, k in added.items() if c not in known]
+        self._run(*more, *[f"ALTER TABLE {_q(table)} DROP COLUMN {_q(c)}" for c in dropped if c in known])
+
+    def _seen(self, cursor, name: str, number: int) -> bool:
+        cursor.execute(f"CREATE TABLE IF NOT EXISTS {_q(self.APPLIED)} (name TEXT PRIMARY KEY, number BIGINT NOT NULL)")
+        return number <= self._number(cursor, name)
+
+    def _number(self, cursor, name: str) -> int:
+        cursor.execute(f"SELECT number FROM {_q(self.APPLIED)} WHERE name = {self.mark}", (name,))
+        found = cursor.fetchone()
+        return merge.NEVER if found is None else found[0]
+
+    def _done(self, cursor, name: str, number: int) -> None:
+        cursor.execute(f"INSERT INTO {_q(self.APPLIED)} VALUES ({self.mark}, {self.mark}) ON CONFLICT (name) DO UPDATE SET number = excluded.number", (name, number))
+
+    def _insert(self, cursor, table: str, columns: list[str], rows: DataFrame) -> None:
+        """Rows in blocks; a block is all that the driver holds."""
+        statement = f"INSERT INTO {_q(table)} ({', '.join(map(_q, columns))}) VALUES ({', '.join([self.mark] * len(columns))})"
+        found = rows.select(*[f"`{c}`" for c in columns]).toLocalIterator(prefetchPartitions=True)
+        while block := [tuple(r) for r in islice(found, self.BLOCK)]:
+            cursor.executemany(statement, block)
+
+    def append(self, table: str, rows: DataFrame, name: str, number: int) -> None:
+        """Rows of a flattened log, once for each batch."""
+        with closing(self.connect()) as db:
+            cursor = db.cursor()
+            if not self._seen(cursor, name, number):
+                self._insert(cursor, table, rows.columns, rows)
+                self._done(cursor, name, number)
+            db.commit()
+
+    def apply(self, table: str, changes: DataFrame, pk: list[str], name: str, number: int, truncated: int | None = None) -> None:
+        """A batch's folded changes: ``seq``, ``op`` and the columns, one row at most for each key.
+
+        The ``seq`` of each key and of the last truncate (``truncated``, if the batch
+        has one) stay in tables beside the target, and what is older than they are
+        is passed over, so batches may come in any order.
+        """
+        columns = [c for c in changes.columns if c not in ("seq", "op")]
+        staging, known, keys, names = _q(f"_stage_{table}"), _q(f"_changeloom_{table}"), ", ".join(map(_q, pk)), ", ".join(map(_q, columns))
+        own = _q(table)
+        sets = ", ".join(f"{_q(c)} = excluded.{_q(c)}" for c in columns if c not in pk)
+        same = lambda a, b: " AND ".join(f"{a}.{_q(c)} = {b}.{_q(c)}" for c in pk)
+        self._run(
+            f"DROP TABLE IF EXISTS {staging}",
+            f"CREATE TABLE {staging} AS SELECT 0 AS seq, 'x' AS op, {names} FROM {own} WHERE 1 = 0",
+            f"CREATE TABLE IF NOT EXISTS {known} AS SELECT {keys}, 0 AS seq FROM {own} WHERE 1 = 0",
+            f"CREATE UNIQUE INDEX IF NOT EXISTS {_q(f'_changeloom_{table}_keys')} ON {known} ({keys})",
+        )
+        with closing(self.connect()) as db:
+            cursor = db.cursor()
+            if not self._seen(cursor, name, number):
+                if self.stage:
+                    self.stage(changes, f"_stage_{table}")
                 else:
-                    db.execute(f"INSERT OR REPLACE INTO {_q(self.table)} VALUES ({marks})", [r[c] for c in self.columns])
+                    self._insert(cursor, f"_stage_{table}", ["seq", "op", *columns], changes)
+                barrier = self._number(cursor, f"truncate {table}")
+                if truncated is not None and truncated > barrier:
+                    barrier = truncated
+                    cursor.execute(f"DELETE FROM {own} WHERE NOT EXISTS (SELECT 1 FROM {known} WHERE {same(known, own)} AND {known}.seq > {int(barrier)})")
+                    self._done(cursor, f"truncate {table}", barrier)
+                cursor.execute(f"DELETE FROM {staging} WHERE seq <= {int(barrier)} OR EXISTS (SELECT 1 FROM {known} WHERE {same(known, staging)} AND {known}.seq >= {staging}.seq)")
+                cursor.execute(f"DELETE FROM {own} WHERE ({keys}) IN (SELECT {keys} FROM {staging} WHERE op = 'D')")
+                action = f"DO UPDATE SET {sets}" if sets else "DO NOTHING"
+                cursor.execute(f"INSERT INTO {own} ({names}) SELECT {names} FROM {staging} WHERE op <> 'D' ON CONFLICT ({keys}) {action}")
+                cursor.execute(f"INSERT INTO {known} ({keys}, seq) SELECT {keys}, seq FROM {staging} WHERE 1 = 1 ON CONFLICT ({keys}) DO UPDATE SET seq = excluded.seq")
+                self._done(cursor, name, number)
+            db.commit()
+        self._run(f"DROP TABLE IF EXISTS {staging}")
+
+
+def database_sink(target: DatabaseTarget, table: str, kinds: dict[str, str], pk: list[str], name: str, seq: str = "seq"):
+    """A stream's batches into a replicated table of a database, which does not depend on their order.
+
+    Columns that come later are added before the batch is applied.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        columns = [c for c in batch.columns if c not in (seq, "op")]
+        known = target.ensure(table, {c: kinds.get(c, "TEXT") for c in columns}, pk)
+        if added := {c: kinds.get(c, "TEXT") for c in columns if c not in known}:
+            target.evolve(table, added)
+        folded = merge.part(batch, pk, [c for c in columns if c not in pk], seq=seq)
+        truncated = batch.where("op = 'T'").agg(F.max(seq)).first()[0]
+        target.apply(table, folded.where("op <> 'T'").select("seq", "op", *columns), pk, name, number, truncated)
+
+    return write
