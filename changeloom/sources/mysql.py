@@ -8,10 +8,13 @@ Row images are arrays of cells; updates list before and after in turn.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..envelope import CELL
+from ..errors import MySqlError
 from ..functions.coerce import cell_null, mysql_cell, mysql_number
 from ..functions.names import fallback_names, truncated_table
 from ..operators.ordered import last_known
@@ -55,17 +58,44 @@ def binlog_cell(kind: Column, value: Column, column_type: Column, is_flag: Colum
     return F.when(F.coalesce(is_flag, F.lit(False)) & (found["type"] == "Int"), flag).otherwise(found)
 
 
-def _named(names: Column, cells: Column) -> Column:
-    enough = F.when(F.size(names) == F.size(cells), names).otherwise(fallback_names(F.size(cells)))
-    return F.map_from_arrays(enough, cells)
+#: Statements that show the current position, the newer one first.
+POSITION_STATEMENTS = ["SHOW BINARY LOG STATUS", "SHOW MASTER STATUS"]
+
+
+def snapshot_position(run: Callable[[str], list[tuple]]) -> str:
+    """``file:position`` of the server, from the first statement that it knows; ``run`` gives a statement's rows."""
+    for statement in POSITION_STATEMENTS:
+        try:
+            found = run(statement)
+        except Exception:
+            continue
+        if found:
+            return f"{found[0][0]}:{found[0][1]}"
+    raise MySqlError("the server shows no binary log position; is its binary log on?")
+
+
+def refreshed_names(columns: DataFrame) -> DataFrame:
+    """(schema, table, names) of ``information_schema.columns``, in order of place."""
+    place = F.struct(F.col("ordinal_position").alias("at"), F.col("column_name").alias("name"))
+    lists = columns.groupBy(F.col("table_schema").alias("schema"), F.col("table_name").alias("table")).agg(F.array_sort(F.collect_list(place)).alias("names"))
+    return lists.withColumn("names", F.transform("names", lambda x: x["name"]))
+
+
+def _named(cells: Column, *names: Column) -> Column:
+    """Cells by the first list of names that is as wide as they are."""
+    out = fallback_names(F.size(cells))
+    for one in reversed(names):
+        out = F.when(F.size(one) == F.size(cells), one).otherwise(out)
+    return F.map_from_arrays(out, cells)
 
 
-def row_events(log: DataFrame, primary_keys: DataFrame | None = None, tables: list[str] | None = None, span: int = 100_000) -> DataFrame:
+def row_events(log: DataFrame, primary_keys: DataFrame | None = None, tables: list[str] | None = None, span: int = 100_000, columns: DataFrame | None = None) -> DataFrame:
     """Insert, update, delete and truncate events; ``tables`` (schema.table) filters.
 
-    A row event takes the names of the last table map of its table id; where the
-    widths differ, columns are called ``col_0`` and so on.  ``part`` orders the
-    rows of one event.
+    A row event takes the names of the last table map of its table id.  Where the
+    widths differ (names are not logged, or a column came later), the names of
+    ``columns`` (``refreshed_names``) are taken if they fit, else columns are called
+    ``col_0`` and so on.  ``part`` orders the rows of one event.
     """
     mapped = F.when(F.col("kind") == "table_map", F.struct("schema", "table", "names"))
     rows = last_known(log.where(F.col("kind").isin("table_map", "write", "update", "delete")), mapped, "map", by=["table_id"], span=span)
@@ -77,11 +107,15 @@ def row_events(log: DataFrame, primary_keys: DataFrame | None = None, tables: li
     kind = F.col("kind")
     new = F.when(kind == "write", first).when(kind == "update", second)
     old = F.when(kind.isin("update", "delete"), first)
-    names = F.col("map.names")
+    names = [F.col("map.names")]
+    if columns is not None:
+        fresh = columns.select(F.col("schema").alias("_schema"), F.col("table").alias("_table"), F.col("names").alias("_fresh"))
+        rows = rows.join(fresh, (F.col("map.schema") == F.col("_schema")) & (F.col("map.table") == F.col("_table")), "left")
+        names.append(F.col("_fresh"))
     changes = rows.select(
         "seq", "part", F.col("position").alias("lsn"), "timestamp_us", F.col("map.schema").alias("schema"), F.col("map.table").alias("table"),
         F.when(kind == "write", "I").when(kind == "update", "U").otherwise("D").alias("op"),
-        F.when(new.isNotNull(), _named(names, new)).alias("new"), F.when(old.isNotNull(), _named(names, old)).alias("old"),
+        F.when(new.isNotNull(), _named(new, *names)).alias("new"), F.when(old.isNotNull(), _named(old, *names)).alias("old"),
     )
     target = truncated_table(F.col("sql"), F.col("schema"))
     empty = F.lit(None).cast(changes.schema["new"].dataType)

@@ -167,9 +167,13 @@ def _cell(column, field):
     return F.when(field["kind"] == "n", cell_null()).when(field["kind"] == "u", unchanged).otherwise(pg_cell(field["value"], column["oid"]))
 
 
-def events(decoded: DataFrame, primary_keys: DataFrame | None = None, span: int = 100_000) -> DataFrame:
+def events(decoded: DataFrame, primary_keys: DataFrame | None = None, span: int = 100_000, flags: bool = False) -> DataFrame:
     """Change events of decoded messages, in the envelope's layout.
 
+    The messages are read several times: give a written table (``scratch.written``)
+    or they are decoded as often.  ``flags`` adds ``flag_pk``, the keys by the
+    relation's flags, beside those of ``primary_keys``.
+
     Each change takes the transaction of the last Begin and the last definition
     of its relation before it.  ``primary_keys`` (rel_id, pk) overrides the key
     flags of relations.  A tuple whose width differs from its relation's, or a
@@ -193,7 +197,7 @@ def events(decoded: DataFrame, primary_keys: DataFrame | None = None, span: int
         ),
     )
     flagged = F.transform(F.filter("rel.columns", lambda c: c["is_key"]), lambda c: c["name"])
-    pk = flagged
+    pk, more = flagged, [flagged.alias("flag_pk")] if flags else []
     if primary_keys is not None:
         known = primary_keys.select(F.col("rel_id").alias("target"), F.col("pk").alias("_pk"))
         checked = checked.join(known, "target", "left")
@@ -201,7 +205,7 @@ def events(decoded: DataFrame, primary_keys: DataFrame | None = None, span: int
     return checked.select(
         "seq", F.col("tx.lsn").alias("lsn"), pg_time_us(F.col("tx.pg_time_us")).alias("timestamp_us"), F.col("tx.xid").alias("xid"),
         F.col("rel.schema").alias("schema"), F.col("rel.table").alias("table"), F.col("target").alias("oid"), "op",
-        pk.alias("pk"), _image("new").alias("new"), _image("old").alias("old"),
+        pk.alias("pk"), _image("new").alias("new"), _image("old").alias("old"), *more,
     )
 
 

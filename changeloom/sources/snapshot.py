@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..envelope import cell, envelope, image, no_image
 from ..functions.coerce import pg_cell
 from ..functions.names import copy_fields
-from ..operators.ordered import positions
+from ..operators.ordered import SPAN, positions
 
 #: Fixed value: rows between two checkpoints of a snapshot.
 CHECKPOINT_ROWS = 10_000
@@ -21,9 +21,22 @@ def snapshot(df: DataFrame, table: str, pk: list[str], tags: dict[str, str], *,
     return envelope(df, table, pk, F.lit("S"), image(cells), no_image(), schema=schema, seq=seq, lsn=zero if lsn is None else lsn, timestamp_us=zero if timestamp_us is None else timestamp_us, xid=zero)
 
 
-def checkpoints(df: DataFrame, table: str, rows: int = CHECKPOINT_ROWS) -> DataFrame:
-    """How many checkpoints a table's snapshot makes on the way; ``complete`` comes only at its end."""
-    return df.agg(F.count("*").alias("rows")).select(F.lit(table).alias("table"), "rows", F.floor(F.col("rows") / rows).cast("long").alias("checkpoints"), F.lit(True).alias("complete"))
+def checkpoints(events: DataFrame, rows: int = CHECKPOINT_ROWS) -> DataFrame:
+    """(schema, table, seq, rows, complete): the points of a snapshot at which its progress may be saved.
+
+    One after each ``rows`` events of a table, in order, and one at its end; only
+    that one is complete, and only it lets a restart pass over the table.
+    """
+    placed = events.withColumn("_n", F.row_number().over(Window.partitionBy("schema", "table", F.floor(F.col("seq") / SPAN)).orderBy("seq")))
+    spans = events.groupBy("schema", "table", F.floor(F.col("seq") / SPAN).alias("_span")).agg(F.count("*").alias("_size"), F.max("seq").alias("_end"))
+    earlier = Window.partitionBy("schema", "table").orderBy("_span")
+    spans = spans.withColumn("_before", F.coalesce(F.sum("_size").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    spans = spans.withColumn("_last", F.lead("_span").over(earlier).isNull())
+    placed = placed.withColumn("_span", F.floor(F.col("seq") / SPAN)).join(spans, ["schema", "table", "_span"])
+    done = F.col("_before") + F.col("_n")
+    partial = placed.where(done % rows == 0).select("schema", "table", "seq", done.alias("rows"), F.lit(False).alias("complete"))
+    ends = spans.where("_last").select("schema", "table", F.col("_end").alias("seq"), (F.col("_before") + F.col("_size")).alias("rows"), F.lit(True).alias("complete"))
+    return partial.unionByName(ends)
 
 
 def copy_events(lines: DataFrame, table: str, columns: list[tuple[str, int]], pk: list[str], *, line: str = "value", seq: str = "seq", lsn: int = 0, schema: str = "public") -> DataFrame:
