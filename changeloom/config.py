@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import sqlite3
 from dataclasses import MISSING, dataclass, field, fields
 
 from .errors import ConfigError
@@ -45,6 +46,15 @@ class FileSource:
     format: str = "parquet"
 
 
+@dataclass(frozen=True)
+class FrameFolder:
+    """A recording of a replication stream (``sources.frames``)."""
+
+    path: str
+    start: str = "0/0"
+    feedback: str | None = None
+
+
 @dataclass(frozen=True)
 class StdoutSink:
     pass
@@ -67,6 +77,25 @@ class DatabaseSink:
     schema: str = "public"
     table_prefix: str = ""
 
+    def connect(self):
+        """A DB-API connection, by the driver that is installed, and its placeholder."""
+        try:
+            import psycopg
+        except ImportError as e:
+            raise ConfigError("a PostgreSQL sink needs the driver psycopg") from e
+        return psycopg.connect(host=self.host, port=self.port, user=self.user, password=self.password, dbname=self.database, options=f"-c search_path={self.schema}")
+
+
+@dataclass(frozen=True)
+class FileDatabaseSink:
+    """Tables in a SQLite file, for one machine."""
+
+    path: str
+    table_prefix: str = ""
+
+    def connect(self):
+        return sqlite3.connect(self.path)
+
 
 @dataclass(frozen=True)
 class LakeSink:
@@ -86,12 +115,12 @@ class MemoryOffset:
 
 
 #: The names by which a configuration chooses its parts.
-SOURCES = {"postgres": PostgresSource, "mysql": MySqlSource, "files": FileSource}
-SINKS = {"stdout": StdoutSink, "kafka": QueueSink, "postgres": DatabaseSink, "iceberg": LakeSink}
+SOURCES = {"postgres": PostgresSource, "mysql": MySqlSource, "files": FileSource, "frames": FrameFolder}
+SINKS = {"stdout": StdoutSink, "kafka": QueueSink, "postgres": DatabaseSink, "iceberg": LakeSink, "sqlite": FileDatabaseSink}
 OFFSETS = {"sqlite": SqliteOffset, "memory": MemoryOffset}
 #: The modes, and the sinks that can hold a table's state.
 MODES = ("cdc", "replication")
-STATEFUL_SINKS = ("iceberg", "postgres")
+STATEFUL_SINKS = ("iceberg", "postgres", "sqlite")
 
 
 def _part(kinds: dict, raw: object, what: str):

@@ -13,25 +13,33 @@ from ..envelope import cell
 from ..functions.coerce import mysql_number, typed
 from ..operators.flatten import flatten, project
 from ..operators.ordered import last_known
-from ..scratch import folder, ship
+from ..functions import names
+from ..scratch import folder, ship, written
 from ..sinks.lake import LakeTable
 from ..sources import discovery, mysql, pgoutput, snapshot
-from ..streaming import runner
 from ..streaming.metrics import Metrics
 from .base import change_log, query, rows, table
 
 
+_ORDERS = {"o_orderkey": ("Int", "BigInt"), "o_custkey": ("Int", "BigInt"), "o_orderstatus": ("Text", "Text"), "o_totalprice": ("Float", "Double"), "o_orderdate": ("Timestamp", "Text"), "o_orderpriority": ("Text", "Text")}
+_OLD_ORDERS = ", ".join(f"cast(null as {'bigint' if k == 'BigInt' else 'double' if k == 'Double' else 'varchar'}) as _old_{c}" for c, (_, k) in _ORDERS.items())
+
+
+def _snapshot(spark, sf):
+    return snapshot.snapshot(table(spark, sf, "orders"), "orders", ["o_orderkey"], {c: tag for c, (tag, _) in _ORDERS.items()}, seq=F.col("o_orderkey"), lsn=F.lit(4096))
+
+
 @query("""select 'S' as _cdc_op, 4096 as _cdc_lsn, 0 as _cdc_timestamp_us, true as _cdc_snapshot, 'public' as _cdc_schema, 'orders' as _cdc_table, '["o_orderkey"]' as _cdc_primary_key_columns,
-o_orderkey, o_orderstatus, cast(null as bigint) as _old_o_orderkey, cast(null as varchar) as _old_o_orderstatus from orders""")
+o_orderkey, o_custkey, o_orderstatus, o_totalprice, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as o_orderdate, o_orderpriority, """ + _OLD_ORDERS + " from orders")
 def s02_snapshot_orders(spark, sf):
-    o = table(spark, sf, "orders")
-    events = snapshot.snapshot(o, "orders", ["o_orderkey"], {"o_orderkey": "Int", "o_orderstatus": "Text"}, seq=F.col("o_orderkey"), lsn=F.lit(4096))
-    return flatten(events, {"o_orderkey": "BigInt", "o_orderstatus": "Text"})
+    return flatten(_snapshot(spark, sf), {c: kind for c, (_, kind) in _ORDERS.items()})
 
 
-@query("select 'orders' as \"table\", count(*) as rows, count(*) // 1000 as checkpoints, true as complete from orders")
+@query("""with n as (select o_orderkey as seq, row_number() over (order by o_orderkey) as rows from orders)
+select 'public' as schema, 'orders' as "table", seq, rows, false as complete from n where rows % 1000 = 0
+union all select 'public', 'orders', max(seq), max(rows), true from n""")
 def s03_snapshot_checkpoints(spark, sf):
-    return snapshot.checkpoints(table(spark, sf, "orders"), "orders", 1000)
+    return snapshot.checkpoints(_snapshot(spark, sf), 1000)
 
 
 @query("select c_custkey, case when c_custkey % 5 <> 0 then replace(c_name, '#', chr(9)) end as c_name, c_custkey % 2 = 0 as flag from customer")
@@ -45,13 +53,17 @@ def s04_copy_line(spark, sf):
     return project(events, {"c_custkey": "BigInt", "c_name": "Text", "flag": "Boolean"}).drop("seq", "op")
 
 
-@query("select * from (values ('public', 'users', 1, ['id']), ('shop', 'lines', 2, ['b', 'a'])) t(\"schema\", \"table\", oid, pk)")
+@query("select r_name as schema, n_name as \"table\", n_nationkey as oid, case when n_nationkey % 2 = 0 then ['b', 'a'] else ['c'] end as pk from nation join region on r_regionkey = n_regionkey")
 def s06_primary_keys(spark, sf):
-    att = rows(spark, "attrelid int, attnum int, attname string", (1, 1, "id"), (1, 2, "name"), (2, 1, "a"), (2, 2, "b"))
-    cls = rows(spark, "oid int, relname string, relnamespace int", (1, "users", 10), (2, "lines", 11))
-    nsp = rows(spark, "oid int, nspname string", (10, "public"), (11, "shop"))
-    idx = rows(spark, "indrelid int, indkey array<int>, indisprimary boolean", (1, [1], True), (2, [2, 1], True), (2, [1], False))
-    return snapshot.primary_keys(att, cls, nsp, idx)
+    """Catalogs with a table for each nation and a schema for each region."""
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    oid = F.col("n_nationkey").alias("oid")
+    att = n.select(F.col("n_nationkey").alias("attrelid"), F.posexplode(F.array(*map(F.lit, "abc"))).alias("attnum", "attname")).withColumn("attnum", F.col("attnum") + 1)
+    cls = n.select(oid, F.col("n_name").alias("relname"), F.col("n_regionkey").alias("relnamespace"))
+    nsp = r.select(F.col("r_regionkey").alias("oid"), F.col("r_name").alias("nspname"))
+    keys = lambda *k: F.array(*map(F.lit, k))
+    idx = n.select(F.col("n_nationkey").alias("indrelid"), F.when(F.col("n_nationkey") % 2 == 0, keys(2, 1)).otherwise(keys(3)).alias("indkey"), F.lit(True).alias("indisprimary"))
+    return snapshot.primary_keys(att, cls, nsp, idx.unionAll(idx.select("indrelid", keys(1), F.lit(False))))
 
 
 @query("""select * from (values ('public', 'users', 'id', 'integer', 'Int', false, 1), ('public', 'users', 'name', 'character varying(20)', 'VarString(20)', true, 2),
@@ -87,13 +99,14 @@ _OBJECTS = {
     "info": "SELECT slot_name, plugin, confirmed_flush_lsn, active FROM pg_replication_slots WHERE slot_name = 'it''s'",
     "all": 'CREATE PUBLICATION "p" FOR ALL TABLES',
     "some": 'CREATE PUBLICATION "p""q" FOR TABLE "public"."users", "logs"',
+    "start": """START_REPLICATION SLOT "it's" LOGICAL 0/10 (proto_version '1', publication_names 'p,q')""",
 }
 
 
 @query("select * from (values " + ", ".join(f"('{k}', '{v.replace(chr(39), chr(39) * 2)}')" for k, v in _OBJECTS.items()) + ") t(kind, statement)")
 def s19_replication_objects(spark, sf):
-    """Statements for slots and publications (s19, s20)."""
-    made = discovery.slot_statements("it's") | {"all": discovery.ensured_publication("p", None, []), "some": discovery.publication_statement('p"q', ["public.users", "logs"])}
+    """Statements for slots, publications and the stream (s11, s19, s20)."""
+    made = discovery.slot_statements("it's") | {"all": discovery.ensured_publication("p", None, []), "some": discovery.publication_statement('p"q', ["public.users", "logs"]), "start": pgoutput.start_replication("it's", "0/10", ["p", "q"])}
     return rows(spark, "kind string, statement string", *made.items())
 
 
@@ -123,10 +136,15 @@ def _wire(batches):
         yield pa.RecordBatch.from_arrays([pa.array(seqs, pa.int64()), pa.array(data, pa.binary())], ["seq", "data"])
 
 
-def _decoded(spark, sf):
+def _raw(spark, sf):
     ship(spark)
     log = change_log(spark, sf).select("seq", "xid", "op", "user_id", "event_type", "value", "old_value")
-    return pgoutput.messages(log.mapInArrow(_wire, "seq long, data binary"))
+    return log.mapInArrow(_wire, "seq long, data binary")
+
+
+def _decoded(spark, sf):
+    """Messages that are decoded once and read from where they are written."""
+    return written(pgoutput.messages(_raw(spark, sf)), "messages")
 
 
 @query("""LOG , e as (select *, 'events' as tab from cl union all select *, 'audit' as tab from cl where op = 'T')
@@ -148,10 +166,9 @@ def s13_pgoutput(spark, sf):
 @query("LOG select seq * 8 + 3 as seq, 'user_id' as by_flag, 'user_id,event_type' as pk from cl where op <> 'T'")
 def s17_pk_resolution(spark, sf):
     """Keys from the catalog take the place of the relation's flags."""
-    decoded = _decoded(spark, sf)
     known = rows(spark, "rel_id long, pk array<string>", (16384, ["user_id", "event_type"]))
-    flags = pgoutput.events(decoded).where("op <> 'T'").select("seq", F.array_join("pk", ",").alias("by_flag"))
-    return flags.join(pgoutput.events(decoded, known).where("op <> 'T'").select("seq", F.array_join("pk", ",").alias("pk")), "seq")
+    events = pgoutput.events(_decoded(spark, sf), known, flags=True).where("op <> 'T'")
+    return events.select("seq", F.array_join("flag_pk", ",").alias("by_flag"), F.array_join("pk", ",").alias("pk"))
 
 
 @query("""LOG , r as (select seq, user_id % 4 as rel, case when event_type = 'signup' then seq end as version from cl)
@@ -173,19 +190,19 @@ def s18_truncate_explode(spark, sf):
     return t.select((F.col("seq") * 2 + F.col("k")).alias("seq"), "table")
 
 
-@query("select * from (values ('a', 'missing'), ('d', 'extra')) t(\"table\", problem)")
+@query("select n_name as \"table\", case when n_nationkey < 5 then 'missing' else 'extra' end as problem from nation where n_nationkey < 5 or n_nationkey >= 20")
 def s20_publication(spark, sf):
-    return pgoutput.publication_difference(rows(spark, "table string", ("a",), ("b",)), rows(spark, "table string", ("b",), ("d",)))
+    names = table(spark, sf, "nation").withColumn("table", F.col("n_name"))
+    return pgoutput.publication_difference(names.where("n_nationkey < 20"), names.where("n_nationkey >= 5"))
 
 
 @query("""select o_orderkey, case when o_orderkey % 3 = 0 then 'Bool' when o_orderkey % 3 = 1 then 'Int' else 'Text' end as type,
-case when o_orderkey % 3 = 0 then 'true' when o_orderkey % 3 = 1 then cast(o_orderkey as varchar) else cast(9223372036854775808::hugeint + o_orderkey as varchar) end as value from orders where o_orderkey > 0""")
+case when o_orderkey % 3 = 0 then case when o_orderkey = 0 then 'false' else 'true' end when o_orderkey % 3 = 1 then cast(o_orderkey as varchar) else cast(9223372036854775808::hugeint + o_orderkey as varchar) end as value from orders""")
 def s24_mysql_numbers(spark, sf):
     k = F.col("o_orderkey").cast("decimal(20,0)")
     big = (F.lit("9223372036854775808").cast("decimal(20,0)") + k).cast("decimal(20,0)")
     value = F.when(F.col("o_orderkey") % 3 == 2, big).otherwise(k)
-    o = table(spark, sf, "orders").where("o_orderkey > 0")
-    return o.select("o_orderkey", mysql_number(value, F.col("o_orderkey") % 3 == 0).alias("c")).select("o_orderkey", "c.type", "c.value")
+    return table(spark, sf, "orders").select("o_orderkey", mysql_number(value, F.col("o_orderkey") % 3 == 0).alias("c")).select("o_orderkey", "c.type", "c.value")
 
 
 def _binlog(spark, sf):
@@ -221,6 +238,16 @@ def s27_binlog_rows(spark, sf):
     )
 
 
+@query("""LOG select seq * 2 + 1 as seq, op, case when op = 'T' then null else 'user_id' end as first_name, case when op in ('I', 'U') then user_id end as new_user from cl""")
+def s29_refreshed_names(spark, sf):
+    """Where a table map's names do not fit, those of the live source do."""
+    shape = "table_schema string, table_name string, column_name string, ordinal_position long"
+    live = rows(spark, shape, ("shop", "events", "value", 2), ("shop", "events", "user_id", 1), ("shop", "other", "x", 1))
+    e = mysql.row_events(_binlog(spark, sf), span=3000, columns=mysql.refreshed_names(live))
+    first = F.get(F.array_sort(F.map_keys(F.coalesce("new", "old"))), 0)
+    return e.select("seq", "op", first.alias("first_name"), typed(F.col("new")["user_id"], "BigInt").alias("new_user"))
+
+
 @query("""with v as (select o_orderkey, o_orderkey % 9 as k from orders)
 select o_orderkey, case when k in (0, 2) then 'Int' when k = 1 then 'Bool' when k = 3 then 'Float' when k = 5 then 'Date' when k = 6 then 'Timestamp' when k = 7 then 'Time' else 'Text' end as type,
 case k when 1 then case when o_orderkey % 2 = 1 then 'true' else 'false' end when 3 then o_orderkey || '.5' when 4 then '1e5x' when 5 then '2024-01-31' when 6 then '2024-01-31 10:00:00'
@@ -244,72 +271,65 @@ def s26_binlog_commits(spark, sf):
 # lake tables
 
 
-@query("""LOG , t as (select *, seq // 2500 as part from cl where op <> 'T')
-select 'append' as step, 4 as version, count(*) as n from t where part < 3 union all select 'time travel', 2, count(*) from t where part = 0
-union all select 'delta', 5, (select count(*) from t where part < 3 and user_id not in (select user_id from t where part >= 3 and op in ('D', 'U'))) + (select count(*) from t where part >= 3 and op in ('I', 'U'))
-union all select 'truncate', 6, 0 union all select 'evolved', 8, 5""")
+_DELTA = "(select count(*) from t where part < 3 and user_id not in (select user_id from t where part >= 3 and op in ('D', 'U'))) + (select count(*) from t where part >= 3 and op in ('I', 'U'))"
+
+
+@query(f"""LOG , t as (select *, seq // 2500 as part from cl where op <> 'T')
+select 'append' as step, 4 as version, count(*) as n from t where part < 3 union all select 'older batch', 4, count(*) from t where part < 3
+union all select 'time travel', 1, count(*) from t where part = 0 union all select 'delta', 5, {_DELTA}
+union all select 'added records', 5, count(*) from t where part >= 3 and op in ('I', 'U') union all select 'equality deletes', 5, count(distinct user_id) from t where part >= 3 and op in ('D', 'U')
+union all select 'compacted', 6, {_DELTA} union all select 'truncate', 7, 0 union all select 'evolved', 9, count(*) from t where part = 0
+union all select 'old version', 5, {_DELTA} union all select 'expired', 9, count(*) from t where part = 0""")
 def k11_lake_commits(spark, sf):
-    """Appends, a row delta, a truncate and an evolved schema as versions of one table (k09 to k16)."""
+    """Appends, a row delta, a compaction, a truncate and an evolved schema as versions of one table (k09 to k16)."""
     log = change_log(spark, sf).where("op <> 'T'").withColumn("part", F.floor(F.col("seq") / 2500).cast("int"))
     plain = log.select("user_id", "value", "part", "op")
     t = LakeTable(spark, folder(spark, "lake"))
     data = lambda n: plain.where(n).select("user_id", "value")
-    t.create(data("part = 0").schema, ["user_id"])
+    out = []
+    note = lambda step, n: out.append((step, t.state()["version"], n))
+    t.ensure(data("part = 0").schema, ["user_id"], replicated=True)
+    t.ensure(data("part = 0").schema, ["other"])  # it is there already
     for part in (0, 1, 2):
-        t.append(data(f"part = {part}"))
+        t.append(data(f"part = {part}"), f"log:{2000 + part}")
     t.append(data("part = -1"), "once")
     t.append(data("part = 0"), "once")  # a repeated batch changes nothing
-    out = [("append", 4, t.read().count()), ("time travel", 2, t.read(1).count())]
-    t.row_delta(data("part >= 3 and op in ('I', 'U')"), data("part >= 3 and op in ('D', 'U')"))
-    out.append(("delta", 5, t.read().count()))
+    note("append", t.read().count())
+    t.append(data("part = 0"), "log:7")  # nor does any before the last one
+    note("older batch", t.read().count())
+    out.append(("time travel", 1, t.read(1).count()))
+    done = t.row_delta(data("part >= 3 and op in ('I', 'U')"), data("part >= 3 and op in ('D', 'U')"))
+    note("delta", t.read().count())
+    note("added records", done["summary"]["added-records"])
+    note("equality deletes", done["summary"]["added-equality-deletes"])
+    t.compact()
+    note("compacted", t.read().count())
     t.truncate()
-    out.append(("truncate", 6, t.read().count()))
-    t.append(data("part = 0").limit(5))
-    t.evolve(t.schema().add("extra", "string"), 7)
-    out.append(("evolved", t.state()["version"], t.read().where("extra is null").count()))
+    note("truncate", t.read().count())
+    t.append(data("part = 0"))
+    t.evolve(t.schema().add("extra", "string"), 8)
+    note("evolved", t.read().where("extra is null").count())
+    out.append(("old version", 5, t.read(5).count()))
+    t.expire()
+    note("expired", t.read().count())
     return rows(spark, "step string, version int, n long", *out)
 
 
-# streams
-
-
-def _files(spark, sf, parts=4):
-    log = change_log(spark, sf).select("seq", "op", "user_id", "event_type", "value")
-    path = folder(spark, "stream")
-    log.repartitionByRange(parts, "seq").write.parquet(f"{path}/log")
-    return path, spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/log")
-
-
-@query("""LOG , b as (select *, coalesce(max(case when op = 'T' then seq end) over (), -1) as barrier from cl),
-r as (select *, row_number() over (partition by user_id order by seq desc) as rn from b where seq > barrier and op <> 'T') select user_id, event_type, value from r where rn = 1 and op <> 'D'""")
-def stream_fold_events(spark, sf):
-    """The fold as a stream, restarted between batches; files may arrive in any order."""
-    path, stream = _files(spark, sf)
-    t = LakeTable(spark, f"{path}/state")
-    sink = runner.fold_sink(t, "fold", ["user_id"], ["event_type", "value"])
-    runner.run(stream, f"{path}/checkpoint", sink)
-    runner.run(stream, f"{path}/checkpoint", sink)
-    return runner.state(t, ["user_id"], ["event_type", "value"])
-
-
-@query("LOG select seq, op, user_id, event_type, value from cl")
-def stream_append_cdc(spark, sf):
-    """The append-only log as a stream; a restart with an empty checkpoint adds nothing."""
-    path, stream = _files(spark, sf)
-    t = LakeTable(spark, f"{path}/table")
-    runner.run(stream, f"{path}/one", runner.append_sink(t, "log"))
-    runner.run(stream, f"{path}/two", runner.append_sink(t, "log"))
-    return t.read()
+@query("select ceil(count(*) / 400.0)::bigint as files, count(*) as n from orders")
+def k14_rolled_files(spark, sf):
+    """One task's rows in files of 400 at most."""
+    t = LakeTable(spark, folder(spark, "lake"), file_rows=400)
+    done = t.append(table(spark, sf, "orders").coalesce(1))["summary"]
+    return rows(spark, "files long, n long", (done["added-data-files"], done["added-records"]))
 
 
-@query("select count(*) as events_total, 4 as batches_total, 0 as errors_total, 2.0 as events_per_sec_x from events".replace("2.0 as events_per_sec_x", "count(*) / 10.0 as events_per_sec"))
-def m01_metrics(spark, sf):
-    path, stream = _files(spark, sf)
-    clock = iter([0.0] + [10.0] * 100)
-    m = Metrics(lambda: next(clock))
-    runner.run(stream, f"{path}/checkpoint", runner.append_sink(LakeTable(spark, f"{path}/table"), "m", m), m)
-    s = m.snapshot()
-    return rows(spark, "events_total long, batches_total int, errors_total int, events_per_sec double", (s.events_total, s.batches_total, s.errors_total, s.events_per_sec))
+@query("select n_nationkey, 'cdc_' || n_name as target, 'http://c/v1/p/namespaces/' || n_regionkey || chr(31) || 'x/tables/' || n_name as url from nation")
+def k17_target_names(spark, sf):
+    """Target names and commit URLs (k17, k18)."""
+    url = lambda r: names.commit_url("http://c/", [str(r.n_regionkey), "x"], r.n_name, "p")
+    n = table(spark, sf, "nation")
+    urls = rows(spark, "n_nationkey int, url string", *[(r.n_nationkey, url(r)) for r in n.collect()])
+    return n.select("n_nationkey", names.target_name("cdc_", F.col("n_name")).alias("target")).join(urls, "n_nationkey")
 
 
 # administration
@@ -352,7 +372,7 @@ def a13_prune(spark, sf):
     return store.kept_metrics(_metrics(spark, sf), _now(spark, sf), 2).select("id")
 
 
-@query("select * from (values (0, 'jobs', 'b,a'), (1, 'renamed', 'c'), (2, 'workers', 'w2,w1'), (3, 'lost', '1'), (4, 'status', 'lost,running'), (5, 'history', '3,2'), (6, 'latest', '3'), (7, 'pruned', '2')) t(step, what, result)")
+@query("select * from (values (0, 'jobs', 'b,a'), (1, 'renamed', 'c'), (2, 'workers', 'w2,w1'), (3, 'lost', '1'), (4, 'status', 'lost,running'), (5, 'history', '3,2'), (6, 'latest', '3'), (7, 'pruned', '2'), (8, 'deregistered', 'stopped'), (9, 'deleted', 'b')) t(step, what, result)")
 def a01_admin_store(spark, sf):
     """Jobs, workers, heartbeats and metrics over time (a03 to a08, a10)."""
     at = [datetime.datetime(2024, 1, 1, tzinfo=datetime.UTC)]
@@ -377,4 +397,9 @@ def a01_admin_store(spark, sf):
     out.append(("history", ",".join(str(r["id"]) for r in s.history("w2", 2))))
     out.append(("latest", str(s.latest("w2")["id"])))
     out.append(("pruned", str(s.prune(1.5))))
+    s.deregister("w2")
+    out.append(("deregistered", s.worker("w2")["status"]))
+    s.delete_job(s.job_by_name("a")["id"])
+    s.update_job(b["id"], name="b")
+    out.append(("deleted", ",".join(j["name"] for j in s.jobs())))
     return rows(spark, "step int, what string, result string", *[(i, *x) for i, x in enumerate(out)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, folds, logs, scalars  # noqa: F401
+from . import base, folds, logs, scalars, streams  # noqa: F401
 
 
 def queries() -> dict:

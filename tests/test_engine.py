@@ -1,8 +1,13 @@
 """Decoders, policies, the lake, configuration, administration and the command line."""
 
+import hashlib
 import json
 import random
+import socket
+import sqlite3
 import struct
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,13 +16,13 @@ from changeloom import cli, config
 from changeloom.admin.server import AdminClient, admin_server, call, worker_server
 from changeloom.admin.store import Store
 from changeloom.envelope import cell, image, no_image
-from changeloom.errors import AdminError, ChangeError, ConfigError, LakeError, ProtocolError, SchemaError
+from changeloom.errors import AdminError, ChangeError, ConfigError, LakeError, MySqlError, PostgresError, ProtocolError, SchemaError
 from changeloom.functions import coerce, lsn, types, values
-from changeloom.operators import evolve, fold, ordered
+from changeloom.operators import evolve, fold, merge, ordered
 from changeloom.operators.flatten import flatten
 from changeloom.sinks.lake import LakeTable
-from changeloom.sinks.out import SqliteState
-from changeloom.sources import discovery, mysql
+from changeloom.sinks.out import DatabaseTarget, database_sink
+from changeloom.sources import discovery, frames, mysql, snapshot, wire
 from changeloom.sources import pgoutput as pg
 from changeloom.sources.log import ChangeLogSource
 from changeloom.streaming import runner
@@ -200,6 +205,178 @@ def test_lake(spark, tmp_path):
         t.state(99)
 
 
+def test_a_commit_is_there_as_a_whole_or_not_at_all(spark, tmp_path):
+    t = LakeTable(spark, f"file://{tmp_path}/t")
+    df = spark.createDataFrame([(1, "a")], "id long, v string")
+    t.append(df, "q:0")
+    move = t._move
+    t._move = lambda *x: 1 / 0  # the writer dies when its version is written and not yet named
+    with pytest.raises(LakeError):
+        t.append(df, "q:1")
+    t._move = move
+    (tmp_path / "t/_log/_left.tmp").write_text('{"vers')
+    assert t.versions() == [0] and t.read().count() == 1
+    one, two = t.state(), t.state()
+    t._commit(one, "append", "q:1")
+    with pytest.raises(LakeError):
+        t._commit(two, "append", "q:1")
+    assert t.state()["version"] == 1 and not [n for n in (tmp_path / "t/_log").iterdir() if n.name.startswith("_") and n.name != "_left.tmp"]
+
+
+def test_batches_are_taken_once_however_many_there_are(spark, tmp_path):
+    t = LakeTable(spark, f"file://{tmp_path}/t")
+    for n in range(3000, 5000, 100):
+        t._commit(t.state(), "append", f"q:{n}")
+    t._commit(t.state(), "append", "other:1")
+    assert t.state()["done"] == {"q": 4900, "other": 1}
+    assert t.seen("q:3000") and t.seen("q:7") and not t.seen("q:4901") and not t.seen("other:2") and not t.seen("third")
+
+
+def test_lake_reads_stay_one_scan(spark, tmp_path):
+    t = LakeTable(spark, f"file://{tmp_path}/t")
+    for n in range(6):
+        t.append(spark.createDataFrame([(n, "a")], "id long, v string"))
+    t.evolve(t.schema().add("w", "string"), 5)
+    t.append(spark.createDataFrame([(9, "a", "w")], "id long, v string, w string"))
+    plan = t.read()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and sorted((r.id, r.w) for r in t.read().collect()) == [*[(n, None) for n in range(6)], (9, "w")]
+    t.compact()
+    assert t.expire() and len(t.state()["data"]) == 1 and len(list((tmp_path / "t/data").iterdir())) == 1 and t.read().count() == 7
+    with pytest.raises(ConfigError):
+        t.ensure(t.schema(), replicated=True)
+
+
+def test_parts_of_a_fold_merge_in_any_order(spark):
+    for seed in (5, 6):
+        rng = random.Random(seed)
+        log = [(*x[:1], *x[2:], ["w"] if rng.random() < 0.5 else None) for x in random_log(seed, 300, 9)]
+        state = {}
+        for s, op, k, v, left in log:
+            if op == "T":
+                state.clear()
+            elif op == "D":
+                state.pop(k, None)
+            else:
+                state[k] = (v, state.get(k, (0, None))[1] if left else v)
+        df = spark.createDataFrame([(*x[:4], x[3], x[4]) for x in log], "seq long, op string, k long, v long, w long, left array<string>")
+        parts = [merge.part(df.where(f"seq % 4 = {n}"), ["k"], ["v", "w"], ["w"], "left") for n in range(4)]
+        rng.shuffle(parts)
+        both = merge.merged(parts[0].unionByName(parts[1]), ["k"], ["v", "w"], ["w"])
+        rows = merge.current(both.unionByName(parts[2]).unionByName(parts[3]), ["k"], ["v", "w"], ["w"]).collect()
+        assert {r.k: (r.v, r.w) for r in rows} == state and len(rows) == len(state)
+
+
+def test_folds_of_several_tables(spark):
+    log = spark.createDataFrame([(1, 0, "I", "a", 1, "x"), (2, 0, "I", "b", 1, "y"), (3, 1, "T", "a", None, None), (4, 1, "I", "a", 2, "z"), (5, 1, "D", "b", 7, None)], "seq long, batch_id long, op string, tab string, id long, v string")
+    want = [("a", 2, "z"), ("b", 1, "y")]
+    assert sorted(tuple(r) for r in fold.sequential_fold(log, ["id"], ["v"], ["tab"]).collect()) == want
+    assert sorted(tuple(r) for r in fold.delta_apply(log, ["id"], ["v"], tables=["tab"]).collect()) == want
+    cells = log.withColumn("v", cell(F.col("v"), "Text"))
+    assert sorted(tuple(r) for r in fold.fold_with_toast(cells, ["id"], ["v"], tables=["tab"]).collect()) == want
+
+
+def test_null_keys_fold_like_others(spark):
+    log = spark.createDataFrame([(1, 0, "I", None, "x"), (2, 0, "U", None, "y"), (3, 0, "I", 1, "z")], "seq long, batch_id long, op string, id long, v string")
+    assert sorted(map(str, ((r.id, r.v) for r in fold.sequential_fold(log, ["id"], ["v"]).collect()))) == ["(1, 'z')", "(None, 'y')"]
+    cells = log.withColumn("v", cell(F.col("v"), "Text"))
+    assert fold.fold_with_toast(cells, ["id"], ["v"]).count() == 2
+
+
+def test_checkpoints_of_a_snapshot(spark):
+    events = spark.range(0, 250).select(F.lit("s").alias("schema"), F.lit("t").alias("table"), (F.col("id") * 3001).alias("seq"))
+    rows = snapshot.checkpoints(events, 100).orderBy("rows").collect()
+    assert [(r.rows, r.seq, r.complete) for r in rows] == [(100, 99 * 3001, False), (200, 199 * 3001, False), (250, 249 * 3001, True)]
+
+
+def test_binlog_position():
+    def run(sql):
+        if "BINARY" in sql:
+            raise ValueError("unknown statement")
+        return [("bin.000003", 77, "", "", "")]
+
+    assert mysql.snapshot_position(run) == "bin.000003:77"
+    with pytest.raises(MySqlError):
+        mysql.snapshot_position(lambda sql: [])
+
+
+def test_recorded_frames(spark, tmp_path):
+    made = [frames.keepalive(5, 0), *[frames.data_frame(0, 10 * n + 10, 0, b"m%d" % n) for n in range(5)], b"c", frames.data_frame(0, 99, 0, b"late")]
+    (tmp_path / "in").mkdir()
+    assert frames.write_recording(iter(made[:4]), str(tmp_path / "in"), 2) == 2
+    (tmp_path / "in" / "1.frames").write_bytes(frames.record(made[4:]))
+    spark.dataSource.register(frames.FrameSource)
+    read = lambda **o: sorted((r.seq, bytes(r.data)) for r in spark.read.format("replication_frames").options(**o).load(str(tmp_path / "in")).collect())
+    assert read() == [(n, b"m%d" % n) for n in range(5)]
+    assert read(start="0/1E") == [(3, b"m3"), (4, b"m4")]
+    (tmp_path / "bad.frames").write_bytes(frames.record(made[:3])[:-3])
+    with pytest.raises(ProtocolError):
+        list(frames.frames_of(str(tmp_path), "bad.frames"))
+    with pytest.raises(ProtocolError):
+        frames.position("x/y")
+
+
+def test_scram_by_the_example_of_its_rfc():
+    s = wire.Scram("pencil", "user", "rOprNGfwEbeRWgbNEkqO")
+    first = "r=rOprNGfwEbeRWgbNEkqO%hvYDpWUa2RaTCAfuxFIlj)hNlF$k0,s=W22ZaJ0SNY7soEsUEjb6gQ==,i=4096"
+    assert s.final(first) == "c=biws,r=rOprNGfwEbeRWgbNEkqO%hvYDpWUa2RaTCAfuxFIlj)hNlF$k0,p=dHzbZapWIk4jUhN+Ute9ytag9zjfMHgsqmmiz7AndVQ="
+    s.verify("v=6rriTRBi23WpRR/wtup+mMhUZUn/dB5nLTJRsjl95G4=")
+    for wrong in (lambda: s.verify("v=AAAA"), lambda: s.final("r=other,s=W22Z,i=1")):
+        with pytest.raises(PostgresError):
+            wrong()
+
+
+def served(script):
+    """A server that plays (bytes to send) and (function of what came) in turn; returns its end of the link, and what came."""
+    ours, theirs = socket.socketpair()
+    came = []
+
+    def play():
+        for step in script:
+            if callable(step):
+                came.append(theirs.recv(65536))
+                step = step(came[-1])
+            if step:
+                theirs.sendall(step)
+
+    threading.Thread(target=play, daemon=True).start()
+    return ours, came
+
+
+def test_connection():
+    ask = lambda how, rest=b"": wire.message(b"R", struct.pack(">I", how) + rest)
+    ready = ask(0) + wire.message(b"S", b"a\0b\0") + wire.message(b"Z", b"I")
+    row = wire.message(b"D", struct.pack(">hi", 2, 1) + b"x" + struct.pack(">i", -1))
+    frame = frames.data_frame(1, 2, 0, b"body")
+    link, came = served([lambda got: ask(5, b"salt"), lambda got: ready, lambda got: wire.message(b"N", b"S\0") + row + wire.message(b"Z", b"I"),
+                         lambda got: wire.message(b"W", b"\0\0\0") + wire.message(b"d", frame) + wire.message(b"c", b""), lambda got: b""])
+    c = wire.Connection(link, "u", "d", "p")
+    inner = hashlib.md5(b"pu").hexdigest()
+    assert came[1] == wire.message(b"p", b"md5" + hashlib.md5(inner.encode() + b"salt").hexdigest().encode() + b"\0")
+    assert b"replication\0database" in came[0] and c.query("SELECT 1") == [["x", None]]
+    assert list(c.replicate("s", "0/0", ["p"])) == [frame]
+    c.confirm(5)
+    time.sleep(0.1)
+    assert came[-1][5:6] == b"r"
+    for script, text in (([lambda got: wire.message(b"E", b"SFATAL\0C28P01\0Mno such user\0\0")], "28P01: no such user"), ([lambda got: ask(10, b"OTHER\0\0")], "no login"), ([lambda got: ask(7)], "kind 7")):
+        with pytest.raises(PostgresError, match=text):
+            wire.Connection(served(script)[0], "u", "d")
+    link, came = served([lambda got: ask(3), lambda got: ready])
+    wire.Connection(link, "u", "d", "secret")
+    assert came[1] == wire.message(b"p", b"secret\0")
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from changeloom import scratch
+
+    far = SimpleNamespace(master="spark://host:7077", applicationId="x", getConf=lambda: SimpleNamespace(get=lambda k: None))
+    with pytest.raises(ConfigError):
+        scratch.folder(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=far), "l")
+    df = scratch.written(spark.range(5), "numbers")
+    assert df.count() == 5
+
+
 def test_publications():
     assert discovery.ensured_publication("p", ["a.b"], []) is None
     assert discovery.ensured_publication("p", ["a.b", "a.c"], ["a.c", "a.b"]) is None
@@ -234,13 +411,31 @@ def test_schema_log():
     assert not one["id"].nullable and evolve.highest_id(evolve.flattened_schema({"a": "Int"})) == 9
 
 
-def test_sqlite_replication(spark, tmp_path):
-    target = SqliteState(str(tmp_path / "s.db"), "t", ["id", "v"], ["id"])
-    target.apply(spark.createDataFrame([("I", 1, "a"), ("I", 2, "b")], "op string, id long, v string"))
-    target.apply(spark.createDataFrame([("U", 1, "c"), ("D", 2, None)], "op string, id long, v string"))
-    import sqlite3
-
-    assert sqlite3.connect(str(tmp_path / "s.db")).execute("select * from t").fetchall() == [(1, "c")]
+def test_database_batches_are_transactions(spark, tmp_path):
+    file = str(tmp_path / "s.db")
+    target = DatabaseTarget(lambda: sqlite3.connect(file))
+    found = lambda: sqlite3.connect(file).execute("select * from t order by id").fetchall()
+    frame = lambda *x: spark.createDataFrame(list(x), "seq long, op string, id long, v string")
+    assert target.ensure("t", {"id": "BIGINT", "v": "TEXT"}, ["id"]) == ["id", "v"] == target.ensure("t", {"x": "TEXT"})
+    target.apply("t", frame((1, "I", 1, "a"), (2, "I", 2, "b")), ["id"], "q", 0)
+    target.apply("t", frame((5, "U", 1, "c"), (6, "D", 2, None)), ["id"], "q", 1)
+    target.apply("t", frame((9, "U", 1, "again")), ["id"], "q", 1)  # repeated
+    target.apply("t", frame((3, "U", 1, "late"), (4, "U", 2, "late"), (4, "I", 3, "d")), ["id"], "other", 0)  # older
+    target.apply("t", frame(), ["id"], "other", 1, truncated=4)  # older too, but for one key
+    assert found() == [(1, "c")]
+    target._done = lambda *x: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        target.apply("t", frame((7, "U", 1, "lost")), ["id"], "q", 2, truncated=6)
+    del target._done
+    assert found() == [(1, "c")]
+    target.evolve("t", {"v": "TEXT", "more": "TEXT"})
+    target.evolve("t", {"more": "TEXT"}, ["gone"])
+    assert target.columns("t") == ["id", "v", "more"]
+    target.evolve("t", {}, ["more"])
+    sink = database_sink(target, "t", {}, ["id"], "q")
+    log = spark.createDataFrame([(10, "I", 8, "x", "n"), (11, "T", None, None, None), (12, "I", 9, "y", "n"), (13, "U", 9, "z", "m")], "seq long, op string, id long, v string, late string")
+    sink(log, 2)
+    assert found() == [(9, "z", "m")]
 
 
 def test_offsets(tmp_path):
@@ -292,7 +487,9 @@ def test_change_log_source(spark, tmp_path):
     assert spark.read.format("changelog").option("fields", fields).load(str(tmp_path)).count() == 30
     stream = spark.readStream.format("changelog").option("fields", fields).load(str(tmp_path))
     t = LakeTable(spark, f"file://{tmp_path}/state")
-    runner.run(stream, f"{tmp_path}/cp", runner.fold_sink(t, "q", ["key"], ["value"]))
+    m = Metrics(lambda: 0.0)
+    runner.run(stream, f"{tmp_path}/cp", runner.fold_sink(t, "q", ["key"], ["value"], m), m)
+    assert m.snapshot().events_total == 30 and m.batches >= 1
     assert sorted((r.key, r.value) for r in runner.state(t, ["key"], ["value"]).collect()) == [(k, 2.5) for k in range(4)]
 
 
@@ -348,11 +545,34 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["job", "run", "-c", str(tmp_path / "c.json"), "--checkpoint", str(tmp_path / "cp")]) == 0
     rows = runner.state(LakeTable(spark, f"file://{tmp_path}/out"), ["key"], ["v"]).collect()
     assert [(r.key, r.v) for r in rows] == [(1, "b")]
+    for mode, rows in (("replication", 1), ("cdc", 4)):
+        (tmp_path / "c.json").write_text(json.dumps(json.loads(text) | {"mode": mode, "sink": {"type": "sqlite", "path": f"{tmp_path}/{mode}.db"}}))
+        for _ in range(2):
+            assert cli.main(["job", "run", "-c", str(tmp_path / "c.json"), "--checkpoint", str(tmp_path / f"cp-{mode}")]) == 0
+        assert len(sqlite3.connect(f"{tmp_path}/{mode}.db").execute("select * from events").fetchall()) == rows
     (tmp_path / "c.json").write_text("{}")
     assert cli.main(["job", "run", "-c", str(tmp_path / "c.json"), "--checkpoint", "x"]) == 1
     assert "config error" in capsys.readouterr().err
 
 
+def test_admin_in_the_background(tmp_path, capsys):
+    home = ["--home", str(tmp_path / "home")]
+    assert cli.main(["admin", "logs", *home]) == 0 and cli.main(["admin", "stop", *home]) == 1
+    assert cli.main(["admin", "start", "--port", "0", "--db", str(tmp_path / "a.db"), *home]) == 0
+    try:
+        assert cli.main(["admin", "start", *home]) == 1
+        for _ in range(100):
+            time.sleep(0.2)
+            capsys.readouterr()
+            cli.main(["admin", "logs", *home])
+            if "listening" in (shown := capsys.readouterr().out):
+                break
+        port = int(shown.split()[-1])
+        assert call("GET", f"http://127.0.0.1:{port}/api/jobs") == []
+    finally:
+        assert cli.main(["admin", "stop", *home]) == 0
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
