@@ -3,6 +3,13 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the one before kept;
 ``run`` writes each result as Parquet in the shared folder and rereads it, so a
 lost executor never costs more than its own stage.
+
+Defined results: a null or empty text is rejected by the first stage; a null id
+comes after all others, and of equal texts or near copies it stays only if no
+other id is there; rows that repeat id and text are one document to the two
+stages on copies, of which the first keeps one row; a null source is a source of
+its own; other columns go along to the mix, and the last stage returns the
+columns of packing; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,22 +26,22 @@ from changeloom.llm.queries import pack_documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go, and the lines above the limits go from the others."""
+    """Documents that the rules reject go, and the lines above the limits go from the others; n_chars follows the text."""
     return keep_good(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest doc_id stays."""
+    """Of equal texts the row with the smallest doc_id stays, one of them if it is repeated."""
     return drop_exact_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest doc_id stays."""
+    """Of each group of near copies the smallest doc_id stays; texts without words have no copies."""
     return drop_near_copies(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the mix takes them: left out, cut, or repeated up to three times."""
+    """Documents as the mix takes them: left out, cut, or repeated up to three times; without words they go."""
     return mixed(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
