@@ -13,15 +13,16 @@ five-word shingle sets; components of linked documents are the groups.
    within 23 with probability 0.9997, and shares a key at any distance but for
    one case in ten million; pairs found at distance up to 28 are kept too.
 3. Within a bucket (classes with a common key) signatures at distance 28 or
-   less are joined by a spanning forest, never by all pairs; a bucket of more
+   less are joined to the smallest of them, never by all pairs; a bucket of more
    than ``BUCKET`` classes is joined whole.  Components of these edges, clumps,
    hold every pair that can be linked.
 4. Each clump's texts meet once, in blocks of ``BLOCK`` classes, and links are
    confirmed on full sets: candidates by rarest shingles, exact intersections,
    and none for pairs that are connected already.  A clump of several blocks
    first compares each block inside and against four leaders; classes that stay
-   outside the clump's largest component are then sent to all its blocks, so no
-   link is lost.
+   outside the clump's largest component are then compared with all its blocks, in
+   batches of ``BLOCK`` too, so no link is lost and no task holds more than about
+   two blocks.  This part is quadratic in the classes outside.
 5. Components of the links give each document the smallest id it reaches.
 
 Defined results: a null or empty text, or one of white space only, has no
@@ -44,7 +45,7 @@ from .components import components
 VALUES, CHUNKS = 48, 12
 GUARANTEED, ACCEPTED = 2 * CHUNKS - 1, 28
 BUCKET = 1000
-BLOCK = 2000
+BLOCK = 1000
 LEADERS = 4
 PERCENT = 75
 
@@ -171,8 +172,27 @@ def _batched(pairs: Iterator[tuple[int, int]], size: int = 50_000) -> Iterator[p
     yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
+def stars(pairs) -> Iterator[tuple[int, int]]:
+    """(smallest, other) for the nodes that some pairs connect: the same components in fewer steps for what follows."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+    for x in list(parent):
+        if (top := root(x)) != x:
+            yield top, x
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the signatures within ACCEPTED, bucket by bucket."""
+    """Stars that connect the signatures within ACCEPTED, bucket by bucket."""
     import numpy as np
 
     def edges():
@@ -180,14 +200,16 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = np.frombuffer(b"".join(signs), np.uint16).reshape(len(nodes), VALUES)
             rest = np.arange(len(nodes))
             while len(rest) > 1:
-                reached, rest = [rest[0]], rest[1:]
+                together, reached, rest = [], [rest[0]], rest[1:]
                 while reached and len(rest):
                     one = reached.pop()
+                    together.append(one)
                     close = (values[rest] != values[one]).sum(axis=1) <= ACCEPTED
-                    for other in rest[close]:
-                        reached.append(other)
-                        yield nodes[one], nodes[other]
+                    reached += rest[close].tolist()
                     rest = rest[~close]
+                names = [nodes[x] for x in together + reached]
+                least = min(names)
+                yield from ((least, x) for x in names if x != least)
 
     yield from _batched(edges())
 
@@ -248,7 +270,7 @@ def linked(sets: list, tested=None, percent: int = PERCENT) -> list[tuple[int, i
 
 
 def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links inside each (clump, block); if some rows are queries, those with a query."""
+    """Stars of the links inside each (clump, block); if some rows are queries, of those with a query."""
     import zstandard
 
     from .shingles import shingle_set
@@ -266,8 +288,7 @@ def _confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(rows) < 2:
                 continue
             sets = [shingle_set(unpack(texts[i])) for i in rows]
-            for a, b in linked(sets, tested or None):
-                yield nodes[rows[a]], nodes[rows[b]]
+            yield from stars((nodes[rows[a]], nodes[rows[b]]) for a, b in linked(sets, tested or None))
 
     yield from _batched(edges())
 
@@ -311,9 +332,14 @@ def _all_links(docs: DataFrame, classes: DataFrame, clumps: DataFrame, scratch:
     parts = components(links, scratch, "parts")
     several = several.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     main = several.groupBy("clump", "root").agg(F.count("*").alias("n")).groupBy("clump").agg(F.max_by("root", "n").alias("main"))
-    outside = several.join(main, "clump").where("root <> main").withColumn("block", everywhere)
-    outside = outside.select("clump", "block", "node", F.lit(True).alias("query"))
-    rest = _links(texts, several.select(columns).join(outside.select("clump").distinct(), "clump", "left_semi").union(outside))
+    outside = scratch.keep(several.join(main, "clump").where("root <> main").select("clump", "blocks", "node"), "outside")
+    batches = outside.groupBy("clump").agg(F.ceil(F.count("*") / block).alias("batches"))
+    one = F.pmod(F.xxhash64("node", F.lit("batch")), F.col("batches"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("batches") - 1))
+    place = (F.col("block") * F.col("batches") + F.col("batch")).alias("block")
+    asked = outside.withColumn("block", everywhere).join(batches, "clump").withColumn("batch", one)
+    met = several.select(columns).join(batches, "clump").withColumn("batch", each)
+    rest = _links(texts, met.select("clump", place, "node", "query").union(asked.select("clump", place, "node", F.lit(True).alias("query"))))
     return scratch.keep(links.union(rest), "all-links")
 
 
