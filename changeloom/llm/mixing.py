@@ -6,7 +6,8 @@ words and the excess is shared again by weight until no target is above: with
 sources sorted by limit over weight, a running sum finds the stopped ones.
 
 Quotas.  Documents are dealt by a seeded hash to shards of about ``shard_rows``
-documents.  A source's shards are joined to as many cells as its words fill with
+documents (larger ones where there would be more than ``MOST_SHARDS``, as the cells
+of one source are ranked together).  A source's shards are joined to as many cells as its words fill with
 ``CELL_BLOCKS`` blocks, one at least: a hot source is a cell for each shard, a small
 one a single cell.  Equal blocks of ``block_words`` words are apportioned to sources
 by Sainte-Lague (highest quotients target / (2 k + 1)), and each source's blocks to
@@ -41,7 +42,8 @@ from .common import WORD, Scratch, free_name, quoted, whole_text
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCK_WORDS = 16
-SHARD_ROWS = 20_000
+SHARD_ROWS = 2048
+MOST_SHARDS = 1 << 16
 CELL_BLOCKS = 1024
 SEED = "mix-1"
 
@@ -127,7 +129,7 @@ def planned(
     name = F.col(quoted(source_col))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.col(quoted(id_col)).cast("string"), words.cast("string")).cast("binary"))
     rows = df.count()
-    shards = max(1, -(-rows // shard_rows))
+    shards = max(1, min(MOST_SHARDS, -(-rows // shard_rows)))
     keyed = df.withColumn(src, F.when(name.isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), name)))
     dealt = F.pmod(F.conv(F.substring(order, 1, 8), 16, 10).cast("long"), F.lit(shards))
     keyed = keyed.withColumn(order, key).withColumn(shard, F.when(words > 0, dealt).otherwise(-1 - dealt))

@@ -76,7 +76,8 @@ OP5 = """
 with s as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as size from documents),
 k as (select *, md5(concat_ws(':', 'mix-1', doc_id::varchar, size::varchar)) as key from s),
-d as (select *, ('0x' || substr(key, 1, 8))::bigint % (select greatest(1, (count(*) + 19999) // 20000) from s) as shard from k),
+n as (select greatest(1, least(65536, (count(*) + 2047) // 2048)) as shards from s),
+dealt as (select *, ('0x' || substr(key, 1, 8))::bigint % (select shards from n) as shard from k),
 src as (select source, sum(size)::bigint as words, row_number() over (order by source nulls last) as rank from s group by source),
 wt as (select *, [5, 2, 1][(rank - 1) % 3 + 1] as weight, 3 * words as most, sum(words) over ()::bigint as total from src),
 lv as (
@@ -95,28 +96,32 @@ quot as (
   select source, rank, unnest(range(0, ceil(target / 16)::bigint + 40)) as j, target, seats from seats),
 won as (select *, row_number() over (order by target / (2 * j + 1) desc, rank, j) as place from quot),
 q as (select source, count(*) filter (place <= seats and target > 0) as blocks from won group by source),
-cell as (select source, shard, sum(size)::bigint as cell_words from d group by source, shard),
+parts as (select source, least((select shards from n), greatest(1, words // 16384)) as parts from src),
+d as (
+  select d.*, case when size > 0 then shard * parts // (select shards from n) else -1 - shard end as cell
+  from dealt d join parts p on d.source is not distinct from p.source),
+cell as (select source, cell, sum(size)::bigint as cell_words from d group by source, cell),
 cq as (
-  select c.source, c.shard, c.cell_words, q.blocks, unnest(range(0, ceil(4 * c.cell_words / 16)::bigint + 40)) as j
+  select c.source, c.cell, c.cell_words, q.blocks, unnest(range(0, ceil(4 * c.cell_words / 16)::bigint + 40)) as j
   from cell c join q on c.source is not distinct from q.source),
-cw as (select *, row_number() over (partition by source order by cell_words::double / (2 * j + 1) desc, shard, j) as place from cq),
+cw as (select *, row_number() over (partition by source order by cell_words::double / (2 * j + 1) desc, cell, j) as place from cq),
 quota as (
-  select source, shard, cell_words, count(*) filter (place <= blocks and cell_words > 0) as quota,
+  select source, cell, cell_words, count(*) filter (place <= blocks and cell_words > 0) as quota,
          greatest(1, floor(cell_words / 16 + 0.5)::bigint) as cuts
-  from cw group by source, shard, cell_words),
+  from cw group by source, cell, cell_words),
 r as (
   select *, least(3, quota // cuts) as rounds, case when quota // cuts < 3 then quota % cuts else 0 end as run,
-         ('0x' || substr(md5(concat_ws(':', 'mix-1', coalesce('s' || source, 'n'), shard::varchar)), 1, 8))::bigint % cuts as first
+         ('0x' || substr(md5(concat_ws(':', 'mix-1', coalesce('s' || source, 'n'), cell::varchar)), 1, 8))::bigint % cuts as first
   from quota),
 e as (
   select *, first * cell_words // cuts as x1, least(first + run, cuts) * cell_words // cuts as y1,
          greatest(first + run - cuts, 0) * cell_words // cuts as y2
   from r),
 p as (
-  select d.*, sum(size) over (partition by source, shard order by key, doc_id, size rows unbounded preceding) - size as a from d)
+  select d.*, sum(size) over (partition by source, cell order by key, doc_id, size rows unbounded preceding) - size as a from d)
 select p.doc_id, p.size, t.words as source_size, t.target,
        (e.rounds * p.size + greatest(0, least(p.a + p.size, e.y1) - greatest(p.a, e.x1)) + greatest(0, least(p.a + p.size, e.y2) - p.a))::bigint as taken
-from p join e on p.source is not distinct from e.source and p.shard = e.shard
+from p join e on p.source is not distinct from e.source and p.cell = e.cell
 join t on p.source is not distinct from t.source
 """
 
