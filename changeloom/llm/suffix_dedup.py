@@ -329,8 +329,8 @@ def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     last = None
     for names, suffixes, prefixes, counts in _buckets(batches):
-        if last is not None and last[:SHARED] == min(suffixes)[:SHARED]:
-            raise ValueError("a match crosses two buckets")
+        if last is not None and min(suffixes)[:SHARED] <= last[:SHARED]:
+            raise ValueError("a match may cross two buckets: their order or their cut is wrong")
         last = max(suffixes)
         a, b = reaches(suffixes, prefixes, counts)
         hit = np.flatnonzero(b)

@@ -131,6 +131,26 @@ def test_small_blocks_and_buckets_lose_nothing(spark):
     check(spark, near_family(9, families=4, copies=24, words=50), bucket=3, block=5)
 
 
+def test_classes_outside_the_largest_component(spark):
+    """Half of each text is common: one clump of many classes, most of them without links, in many batches."""
+    rng = random.Random(21)
+    common = " ".join(f"c{i}" for i in range(60))
+    texts = {n: common + " " + " ".join(f"u{rng.randrange(10**6)}" for _ in range(25)) for n in range(40)}
+    texts |= {100 + n: texts[n % 4] + f" more{n}" for n in range(30)}
+    check(spark, texts, bucket=2, block=4)
+
+
+def test_components_with_a_hub(spark):
+    from changeloom.llm.common import Scratch
+    from changeloom.llm.components import components
+
+    edges = [(0, i) for i in range(1, 3000)] + [(5, 5), (9, 0), (4000, 4001), (4002, 4001), (None, 3), (7, None)]
+    df = spark.createDataFrame(edges, "u long, v long")
+    got = {r.node: r.root for r in components(df, Scratch(spark, "test"), "hub").collect()}
+    assert got == dict.fromkeys(range(3000), 0) | {4000: 4000, 4001: 4000, 4002: 4000}
+    assert components(df.limit(0), Scratch(spark, "test"), "none").count() == 0
+
+
 def test_empty_null_and_repeated(spark):
     schema = "doc_id long, text string"
     empty = spark.createDataFrame([], schema)

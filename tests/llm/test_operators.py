@@ -63,6 +63,14 @@ def test_site_lines(spark):
     assert line_dedup.drop_site_lines(df.limit(0)).count() == 0
 
 
+def test_site_lines_of_pages(spark):
+    html = lambda i: f"<p>own {i}</p>\n<nav>menu</nav>"
+    rows = [(i, f"https://{'A' if i < 8 else 'b'}.org/{i}", html(i)) for i in range(10)] + [(10, "no url", html(10)), (11, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", line_dedup.host_of(F.col("url")))
+    got = {r.page_id: (r.host, r.n_dropped) for r in line_dedup.drop_site_lines(df, "host", "html").collect()}
+    assert got == {i: ("a.org", 1) if i < 8 else ("b.org", 0) for i in range(10)} | {10: (None, 0), 11: (None, 0)}
+
+
 def counts(text):
     import re
 
@@ -86,11 +94,12 @@ def test_base_counts(spark):
         assert got == (counts(r.text) if len(r.text) < 10_000 else (60_000, 120_000, 0, 0, 60_000))
 
 
-def test_frequent_lines_and_copies(spark):
+def test_frequent_lines(spark):
     prose = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
     foot = " ".join(f"foot{k}" for k in range(80))
     rows = [(i, prose(i) + "\n" + foot, "h") for i in range(40)]  # depleted: most words are in a frequent line
-    rows += [(100 + i, prose(500), "h") for i in range(60)]  # copies of one document are not
+    rows += [(100 + i, prose(500), "h") for i in range(30)]  # so are documents of one line that 30 documents have
+    rows += [(140, prose(501), "h")] * 30  # rows that repeat a document count once
     rows += [(200, prose(600) + "\n" + foot, "other"), (201, None, "h"), (202, prose(601), None)]
     df = spark.createDataFrame([(*r, "d", "n") for r in rows], DOCS)
     out, v = quality.judged(df)
@@ -98,13 +107,38 @@ def test_frequent_lines_and_copies(spark):
     got = {r.doc_id: r[v] for r in out.collect()}
     assert all(got[i].depleted and not got[i].kept and clean[i] == prose(i) for i in range(40))
     assert clean[202] == prose(601) and clean[201] == ""
-    assert all(got[100 + i].kept for i in range(60)) and got[200].kept and got[202].kept
+    assert all(got[100 + i].depleted and clean[100 + i] == "" for i in range(30))
+    assert got[140].kept and got[200].kept and got[202].kept
     assert got[201].base_failed and not got[201].kept
     kept = quality.keep_good(df)
-    assert kept.columns == df.columns and kept.count() == 62
+    assert kept.columns == df.columns and kept.count() == 32
+    by_content, v = quality.judged(df, by_content=True)
+    assert sum(r[v].kept for r in by_content.collect()) == 62
     assert quality.keep_good(df.limit(0)).count() == 0
 
 
+def test_lines_of_documents_without_id(spark):
+    foot = "some foot line"
+    rows = [(None, f"text {i}\n{foot}", "h") for i in range(25)] + [(None, f"only\n{foot}", "k")] * 25
+    out, v = quality.judged(spark.createDataFrame([(*r, "d", "n") for r in rows], DOCS))
+    removed = sorted((r.source, r[v].n_removed_words) for r in out.collect())
+    assert removed == [("h", 3)] * 25 + [("k", 0)] * 25
+
+
+def test_very_long_texts(spark):
+    """A text of some megabytes among short ones, for the operators on lines and words."""
+    long = "\n".join(" ".join(f"w{i}x{k}" for k in range(50)) for i in range(10_000))
+    rows = [(i, t, "h", "d", "n") for i, t in enumerate([long, "menu\nshort text", "menu\nother", "menu\nthird", long + " "])]
+    df = spark.createDataFrame(rows, DOCS)
+    out = {r.doc_id: r for r in line_dedup.drop_site_lines(df, ratio=0.5).collect()}
+    assert out[0].text == long and out[1].text == "short text"
+    got = {r.doc_id: r for r in exact_dedup.exact_copies(df).collect()}
+    assert [got[i].group_size for i in range(5)] == [1] * 5
+    sized, plan = mixing.planned(df.withColumn("size", mixing.word_count(F.col("text"))), "size")
+    taken = {r.doc_id: (r["size"], r[plan].taken) for r in sized.collect()}
+    assert taken[0][0] == 500_000 and abs(sum(t for _, t in taken.values()) - 1_000_008) <= 16
+
+
 def test_kept_documents_lose_the_lines_above_the_limits(spark):
     import corpus_pipeline as cp
 
@@ -182,6 +216,9 @@ def test_mix(spark):
         assert r[plan].taken == taken[r.doc_id]
         near = sum(taken[i] for i in size if source[i] == r.source)
         assert abs(near - r[plan].target) <= 16 * 16
+    twice = [(1, "a b c d", "a", "d", "n")] * 3 + [(2, "e f", "b", "d", "n")]
+    words = sum(len(r.text.split()) for r in mixing.mixed(spark.createDataFrame(twice, DOCS)).collect())
+    assert abs(words - 14) <= 16 and words > 0
     assert mixing.mixed(df.limit(0)).count() == 0
     assert mixing.mixed(spark.createDataFrame([(1, None, None, "d", "n")], DOCS)).count() == 0
 
@@ -232,6 +269,32 @@ def test_pieces():
     assert packing.pieces_of(16, 8) == [(0, 8), (8, 8)] and packing.pieces_of(19, 8) == [(0, 3), (3, 8), (11, 8)]
 
 
+def test_clashing_columns_and_long_texts(spark):
+    text = "one two three four five " * 40_000
+    df = spark.createDataFrame([(1, text), (2, "short")], "id long, text string")
+    pieces = packing.token_pieces(df, "id", "text").withColumn("tag", F.lit("mine")).withColumn("shard", F.lit(5))
+    placed = packing.packed(pieces)
+    rows = placed.collect()
+    assert placed.columns == [*pieces.columns, "sequence_id", "offset"] and {r.tag for r in rows} == {"mine"} and {r.shard for r in rows} == {5}
+    assert sum(r.length for r in rows if r.id == 1) == 200_002 and len({r.sequence_id for r in rows}) == 98
+    with pytest.raises(ValueError):
+        packing.packed(pieces.withColumn("offset", F.lit(1)))
+
+
+def test_documents_bind_without_more_sequences(spark):
+    """The capacities of the query: those of few short documents stay under them, and no sequence is added."""
+    rng = random.Random(12)
+    lengths = [rng.randrange(1200, 2048) for _ in range(300)] + [rng.randrange(1, 12) for _ in range(4000)]
+    df = spark.createDataFrame([(n,) for n in lengths], "length long")
+    counts = {}
+    for documents in (packing.DOCUMENTS, packing.TOKENS):
+        rows = packing.packed(df, documents=documents).groupBy("sequence_id").agg(F.count("*").alias("n"), F.sum("length").alias("t")).collect()
+        assert all(r.t <= packing.TOKENS for r in rows)
+        counts[documents] = (len(rows), max(r.n for r in rows))
+    assert counts[packing.DOCUMENTS][1] <= packing.DOCUMENTS < counts[packing.TOKENS][1]
+    assert counts[packing.DOCUMENTS][0] == counts[packing.TOKENS][0]
+
+
 def test_sequences_hold_the_ids(spark):
     rows = [(1, "one two three " * 30), (1, "one two three " * 30), (2, None), (None, ""), (3, "x" * 3000)]
     df = spark.createDataFrame(rows, "id long, text string")
@@ -256,6 +319,50 @@ def test_remembered_ids_are_the_library_s(text):
     assert encode.batch(more) == [encode.whole(x) for x in more]
 
 
+def test_long_texts_are_cut_where_the_library_cuts(monkeypatch):
+    from changeloom.llm import tokens
+
+    rng = random.Random(7)
+    parts = ["word", "it's", " ", "  ", "\n", "\n\n", "Äß", "日本", "12", "--", "\t", "<|endoftext|>", "\x1c", "\x85", "\u3000"]
+    texts = [" ".join(rng.choice(parts) for _ in range(rng.randrange(400))) for _ in range(40)] + ["x" * 900, "ab " * 300]
+    encode = encoder(default_vocabulary())
+    want = [encode.whole(t) for t in texts]
+    for size in (1, 7, 60):
+        monkeypatch.setattr(tokens, "SLICE_CHARS", size)
+        assert all("".join(tokens.slices(t)) == t for t in texts)
+        assert encode.batch(texts) == want and [encode(t) for t in texts] == want
+
+
+def test_remembered_chunks_are_bounded(monkeypatch):
+    from changeloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "REMEMBERED_CHUNKS", 50)
+    monkeypatch.setattr(tokens, "NEW_CHUNKS", 10)
+    monkeypatch.setattr(tokens, "REMEMBERED_PIECES", 20)
+    encode = tokens.Encoder(default_vocabulary())
+    rng = random.Random(9)
+    for _ in range(30):
+        texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(9)) for _ in range(4)]
+        assert encode.batch(texts) == [encode.whole(t) for t in texts]
+    assert 10 <= len(encode.chunks.keys) <= 50 and len(encode.pieces) <= 20
+    assert (np.diff(encode.chunks.keys.astype(object)) > 0).all()
+
+
+def test_store_of_long_texts_and_clashing_columns(spark):
+    import zlib
+
+    texts = ["many words here " * 90_000, "", "x" * 100_000, "end"]
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in enumerate(texts)], "doc_id long, text string, file int, offset int, ids int")
+    path = Scratch(spark, "test").path("orc")
+    token_store.write_tokens(df, path, partitions=2)
+    rows = {r.doc_id: r for r in token_store.checksums(token_store.read_tokens(spark, path)).collect()}
+    encode, at = encoder(default_vocabulary()), 0
+    for i, t in enumerate(texts):
+        ids = encode(t) + bytes(4)
+        assert (rows[i].start, rows[i].n_tokens, rows[i].ids_crc32) == (at, len(ids) // 4, zlib.crc32(ids))
+        at += len(ids) // 4
+
+
 def test_token_store(spark):
     rows = [(3, "c d"), (1, "a"), (None, "z"), (2, None), (2, "b b"), (2, "b b")]
     path = Scratch(spark, "test").path("orc")
@@ -315,6 +422,43 @@ def test_header_ends_before_the_next_version_line():
     assert len(list(warc.salvage(b"WARC/1.1\r\n" * 200_000))) == 1
 
 
+def test_junk_headers_are_gaps():
+    raw = members(3)
+    for old, new in ((b"Content-Length: ", b"Content-Length: \xc2\xb2"), (b"X-Payload-Length: ", b"X-Payload-Length: abc"), (b"WARC-Date: 2024-01-01T00:00:00Z", b"WARC-Date 2024"), (b"Content-Length: ", b"Content-Length: -")):
+        for pack in (bytes, gzip.compress):
+            data = pack(raw[0]) + pack(raw[1].replace(old, new)) + pack(raw[2])
+            ids, gaps = ids_and_gaps(data)
+            assert ids == [0, 2] and len(gaps) == 1
+
+
+def test_false_marks_cost_a_linear_search():
+    import time
+
+    for mark in (b"\x1f\x8b\x08", b"\x1f\x8b\x08\x08ab", b"WARC/1.1\r\n"):
+        took = []
+        for n in (5_000, 40_000):
+            began = time.perf_counter()
+            assert len(list(warc.salvage(b"x" + mark * n))) == 1
+            took.append(time.perf_counter() - began)
+        assert took[1] < 30 * took[0] + 0.5
+
+
+def test_very_long_payloads_and_repeated_writes(spark):
+    import hashlib
+    from pathlib import Path
+
+    long = "<p>some text of a page</p>\n" * 800_000
+    rows = [(i, f"u{i}", long if i in (3, 5) else f"{i} " * 100) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4, "page_id")
+    first, second = (Scratch(spark, "test").path("warc") for _ in range(2))
+    for folder in (first, second):
+        warc.write_warc(df, folder, roll_bytes=2000)
+    read = {r.page_id: r for r in warc.read_warc(spark, first).collect()}
+    assert len(read) == 40 and read["3"].payload_bytes == len(long) and read["5"].refers_to == "3" and read["3"].payload.decode() == long
+    files = [{p.name: hashlib.md5(p.read_bytes()).hexdigest() for p in Path(f.removeprefix("file://")).glob("*.warc.gz")} for f in (first, second)]
+    assert files[0] == files[1] and len(files[0]) > 4
+
+
 def members(n):
     import hashlib
 
@@ -408,5 +552,33 @@ def test_chat_round_trip(spark):
     valid = {r.conv_id: r.valid for r in out.collect()}
     assert valid == {1: True, 2: True, 3: False, 4: False, 5: False, 6: False, None: True}
     assert chat.formatted(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        chat.Template(open="\\x")
+    for wrong in ({"open": "\\x"}, {"close": "##"}, {"close": "|>end|>"}, {"middle": "[INST]/"}, {"open": "x</", "more_controls": ("s>x",)}, {"close": ""}):
+        with pytest.raises(ValueError):
+            chat.Template(**wrong)
+
+
+@given(st.lists(st.text(alphabet="#|ab\\<>", min_size=2, max_size=4), min_size=3, max_size=4), st.lists(st.text(alphabet="#|ab\\<>", max_size=9), min_size=1, max_size=4))
+@settings(max_examples=200, deadline=None)
+def test_valid_templates_read_back(marks, texts):
+    """The rule on templates, with the formatting and its inverse in plain Python."""
+    import re
+
+    try:
+        t = chat.Template(begin="<s>", open=marks[0], middle=marks[1], close=marks[2], more_controls=tuple(marks[3:]))
+    except ValueError:
+        return
+    broken = re.compile("|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in t.controls))
+    out = t.begin + "".join(t.open + "r" + t.middle + broken.sub(lambda m: m[0] + "\\", x.replace("\\", "\\\\")) + t.close for x in texts)
+    parts = out[len(t.begin) :].split(t.close)
+    assert parts.pop() == "" and len(parts) == len(texts)
+    back = [p[len(t.open) :].split(t.middle) for p in parts]
+    assert [re.sub(r"\\(\\|)", r"\1", x) for _, x in back] == texts
+
+
+def test_very_long_conversations(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", f"</s>{i}") for i in range(20_000)] + [(2, 0, "user", "[INST]" * 500_000), (2, 1, "assistant", "\\" * 1_000_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.formatted(df).withColumn("loss", chat.loss_text(F.col("segments"))).withColumn("turns", chat.parsed(chat.joined(F.col("segments"))))
+    got = {r.conv_id: r for r in out.select("conv_id", "valid", "loss", F.size("turns").alias("n"), F.sha2(F.get("turns", 0)["text"], 256).alias("first")).collect()}
+    assert got[1].valid and got[2].valid and got[1].n == 20_000 and got[2].n == 2
+    assert got[1].loss == "".join(t for _, i, r, t in rows[:20_000] if r == "assistant") and got[2].loss == "\\" * 1_000_000

@@ -103,6 +103,37 @@ def test_repeated_strings(spark):
     assert sum(1 for x in want.values() if x[1]) > 50
 
 
+def test_pipeline_edge_cases(spark, tokenizer):
+    """Nulls in any column, ties, repeated rows, long texts, clashing columns; and an empty table."""
+    import corpus_pipeline as cp
+
+    schema = "doc_id long, text string, lang string, source string, n_chars int, _digest string, tag string, sequence int, n long"
+    prose = lambda i: " ".join(f"w{i}x{k}" for k in range(80))
+    more = ("d", "t", 1, 2)
+    rows = [(i, prose(i), "en", "a", 0, *more) for i in range(12)]
+    rows += [(20, prose(3), None, None, None, *[None] * 4), (3, prose(3), "en", "a", 0, *more), (None, prose(40), "en", "b", 1, *more), (21, None, "en", "b", 0, *more), (22, "", None, "b", 0, *more)]
+    rows += [(23, prose(5) + " one more", "en", "a", 0, *more), (24, " ".join(prose(k) for k in range(100, 700)), "en", "b", 0, *more)]
+    docs = spark.createDataFrame(rows, schema)
+    kept = docs
+    for name, stage in cp.STAGES[:-1]:
+        kept = stage(spark, kept, SMALL)
+        assert kept.columns == docs.columns, name
+        kept = spark.createDataFrame(kept.collect(), schema)
+        if name == "quality_rules":
+            assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted([*range(12), 3, 20, 23, 24])
+        if name == "exact_dedup":
+            assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([*map(str, range(12)), "23", "24", "None"])
+        if name == "near_dedup":
+            assert sorted(str(r.doc_id) for r in kept.collect()) == sorted([*map(str, range(12)), "24", "None"])
+    packed = cp.best_fit_packing(spark, kept, SMALL).collect()
+    assert sum(r.length for r in packed) == sum(len(ids_of(tokenizer, r.text)) for r in kept.collect())
+    empty = docs.limit(0)
+    for _, stage in cp.STAGES:
+        empty = stage(spark, empty, SMALL)
+        assert empty.count() == 0
+        empty = spark.createDataFrame([], empty.schema)
+
+
 def test_pipeline(spark, tokenizer):
     """Stage by stage against what each stage was given."""
     import corpus_pipeline as cp

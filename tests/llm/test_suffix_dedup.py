@@ -79,6 +79,32 @@ def test_large_groups_are_counted_by_string(spark):
     check(spark, planted(2), group=3)
 
 
+def test_small_buckets_and_copies(spark, monkeypatch):
+    """Buckets of a few suffixes, and groups of copies of which one holds a third of the rows."""
+    texts = planted(5, 40)
+    check(spark, [*texts, *[texts[7] + texts[8]] * 25, texts[7][:500], texts[0] + "end"])
+    rows = [(s[:400], s[400:500][::-1]) for s in (t.encode() for t in texts if t and len(t) > 600)] * 2
+    import pyarrow as pa
+
+    order = sorted(range(len(rows)), key=lambda i: rows[i][0][: sd.SHARED])
+    batch = pa.RecordBatch.from_arrays([pa.array([bytes([i]) for i in order], pa.binary()), pa.array([rows[i][0] for i in order], pa.binary()), pa.array([rows[i][1] for i in order], pa.binary())], ["context", "suffix", "prefix"])
+    want = {k: v for b in sd._matched([batch]) for k, *v in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    monkeypatch.setattr(sd, "BUCKET", 2)
+    parts = list(sd._matched([batch]))
+    got = {k: v for b in parts for k, *v in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    assert got == want and len(parts) > 10 and len(want) == len(rows)
+    with __import__("pytest").raises(ValueError):
+        list(sd._matched([batch.take(pa.array([0, len(rows) - 1] * 3))]))
+
+
+def test_clashing_columns(spark):
+    text = "".join(random.Random(8).choice("abcdefgh") for _ in range(900))
+    rows = [(1, text, "n", "p", "s", 1), (2, "x" + text, "n", "p", "s", 2), (3, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, name string, packed string, spans string, id long")
+    got = {r.id: r.n_removed for r in sd.repeated_spans(df).collect()}
+    assert got == {1: 900, 2: 900, 3: 0}
+
+
 def test_open_anchors_compare_with_their_group():
     """Partners that are neighbours in neither order."""
     rng = random.Random(4)
