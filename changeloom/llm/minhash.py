@@ -311,25 +311,25 @@ def _clumps(classes: DataFrame, scratch: Scratch, bucket: int) -> DataFrame:
     return scratch.keep(found, "clumped")
 
 
-def _all_links(docs: DataFrame, classes: DataFrame, clumps: DataFrame, scratch: Scratch, block: int) -> DataFrame:
+def _roots(docs: DataFrame, classes: DataFrame, clumps: DataFrame, scratch: Scratch, block: int) -> DataFrame:
+    """(node, root) of the classes that links connect with others."""
     sized = clumps.groupBy("clump").agg(F.ceil(F.count("*") / block).alias("blocks"))
     home = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    placed = clumps.join(sized, "clump").withColumn("block", home)
-    names = placed.join(classes.select("node", "class"), "node").select("node", "class")
+    placed = scratch.keep(clumps.join(sized, "clump").withColumn("block", home).withColumn("query", F.lit(False)), "placed")
+    names = placed.select("node").join(classes.select("node", "class"), "node")
     packed = docs.mapInArrow(_texts, "class binary, packed binary")
     texts = packed.join(names, "class").groupBy("node").agg(F.first("packed").alias("packed"))
     texts = scratch.keep(texts, "texts")
-    placed = scratch.keep(placed.withColumn("query", F.lit(False)), "placed")
     several = placed.where("blocks > 1")
     everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
     first = [F.min_by("node", F.xxhash64("node", F.lit(i))).alias(f"l{i}") for i in range(LEADERS)]
-    leaders = several.groupBy("clump", "blocks").agg(F.array(*first).alias("all")).withColumn("block", everywhere)
+    leaders = several.groupBy("clump", "blocks").agg(F.array_distinct(F.array(*first)).alias("all")).withColumn("block", everywhere)
     leaders = leaders.select(F.explode("all").alias("node"), "clump", "block", F.lit(False).alias("query"))
     columns = ["clump", "block", "node", "query"]
-    links = scratch.keep(_links(texts, placed.select(columns).union(leaders.select(columns).distinct())), "links")
-    if several.isEmpty():
-        return links
+    links = scratch.keep(_links(texts, placed.select(columns).union(leaders.select(columns))), "links")
     parts = components(links, scratch, "parts")
+    if several.isEmpty():
+        return parts
     several = several.join(parts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     main = several.groupBy("clump", "root").agg(F.count("*").alias("n")).groupBy("clump").agg(F.max_by("root", "n").alias("main"))
     outside = scratch.keep(several.join(main, "clump").where("root <> main").select("clump", "blocks", "node"), "outside")
@@ -338,9 +338,12 @@ def _all_links(docs: DataFrame, classes: DataFrame, clumps: DataFrame, scratch:
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("batches") - 1))
     place = (F.col("block") * F.col("batches") + F.col("batch")).alias("block")
     asked = outside.withColumn("block", everywhere).join(batches, "clump").withColumn("batch", one)
-    met = several.select(columns).join(batches, "clump").withColumn("batch", each)
+    met = placed.where("blocks > 1").select(columns).join(batches, "clump").withColumn("batch", each)
     rest = _links(texts, met.select("clump", place, "node", "query").union(asked.select("clump", place, "node", F.lit(True).alias("query"))))
-    return scratch.keep(links.union(rest), "all-links")
+    rest = scratch.keep(rest, "rest")
+    if rest.isEmpty():
+        return parts
+    return components(rest.union(parts.where("node <> root").select("root", "node")), scratch, "groups")
 
 
 def _decided(df: DataFrame, id_col: str, text_col: str, bucket: int, block: int, **carry: Column) -> DataFrame:
@@ -360,8 +363,7 @@ def _decided(df: DataFrame, id_col: str, text_col: str, bucket: int, block: int,
         .withColumn("node", F.monotonically_increasing_id())
     )
     classes = scratch.keep(classes, "classes")
-    links = _all_links(docs.select("text"), classes, _clumps(classes, scratch, bucket), scratch, block)
-    roots = components(links, scratch, "groups")
+    roots = _roots(docs.select("text"), classes, _clumps(classes, scratch, bucket), scratch, block)
     grouped_classes = classes.join(roots, "node", "left").where("root is not null or docs > 1")
     grouped_classes = grouped_classes.select("class", "least", F.coalesce("root", "node").alias("root"))
     smallest = grouped_classes.groupBy("root").agg(F.min("least").alias("component"))
