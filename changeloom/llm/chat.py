@@ -24,7 +24,6 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame

@@ -55,8 +55,9 @@ GRAM = 16
 SHARED = LENGTH - WINDOW + 1
 GROUP = 20_000
 BUCKET = 16_384
-#: Suffixes of a partition of the range partitioning.
-PARTITION = 1 << 16
+#: Suffixes of a partition of the range partitioning, and how many partitions there may be: the
+#: driver sees a sample of 100 prefixes for each.  Beyond that partitions grow, buckets do not.
+PARTITION, MOST_PARTITIONS = 1 << 16, 1 << 14
 CHUNK = 1 << 20
 #: End of a span that covers all of a text.
 ALL = 1 << 62
@@ -396,7 +397,7 @@ def _matches(hits: DataFrame, scratch: Scratch, group: int) -> DataFrame:
     large = scratch.keep(shown.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > group), "large")
     small = shown.join(large.select("hash"), "hash", "left_anti").select("context", "suffix", "prefix")
     head = F.substring("suffix", 1, SHARED)
-    partitions = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), shown.count() // PARTITION + 1)
+    partitions = max(int(scratch.spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTITIONS, shown.count() // PARTITION + 1))
     buckets = small.repartitionByRange(partitions, head).sortWithinPartitions(head).mapInArrow(_matched, "context binary, a long, b long")
     if large.isEmpty():
         return buckets
