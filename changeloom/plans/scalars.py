@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..envelope import OP_CODES, cell, image, is_snapshot, op_code
+from ..envelope import cell, image, is_snapshot, op_code
 from ..functions import coerce, lsn, names, types, values
 from ..operators import evolve
 from ..sinks import out

@@ -555,6 +555,22 @@ def test_command_line(spark, tmp_path, capsys):
     assert "config error" in capsys.readouterr().err
 
 
+def test_command_line_with_recorded_frames(spark, tmp_path):
+    messages = [pg.begin(1, 0, 3), pg.relation(7, "s", "t", [("id", 20, True)]), pg.change("I", 7, [1])]
+    later = [pg.change("I", 7, [2]), pg.commit(1, 24, 0), pg.begin(30, 0, 4), pg.relation(7, "s", "t", [("id", 20, True), ("b", 25, False)]), pg.change("U", 7, [2, "x"], [2, None]), pg.commit(30, 40, 0)]
+    (tmp_path / "in").mkdir()
+    config_ = {"source": {"type": "frames", "path": str(tmp_path / "in")}, "sink": {"type": "iceberg", "path": f"file://{tmp_path}/out"}, "offset": {"type": "memory"}}
+    (tmp_path / "c.json").write_text(json.dumps(config_))
+    first = 0
+    for part in (messages, later):  # the second batch begins inside a transaction
+        first = frames.write_recording((frames.data_frame(0, 50, 0, m) for m in part), str(tmp_path / "in"), 100, first)
+        assert cli.main(["job", "run", "-c", str(tmp_path / "c.json"), "--checkpoint", str(tmp_path / "cp")]) == 0
+    rows = LakeTable(spark, f"file://{tmp_path}/out").read().orderBy("id", "_cdc_op").collect()
+    assert [(r._cdc_op, r._cdc_lsn, r.id, r.b, r._old_id, r._old_b) for r in rows] == [("I", 1, "1", None, None, None), ("I", 1, "2", None, None, None), ("U", 30, "2", "x", "2", None)]
+    (tmp_path / "c.json").write_text(json.dumps(config_ | {"mode": "replication"}))
+    assert cli.main(["job", "run", "-c", str(tmp_path / "c.json"), "--checkpoint", str(tmp_path / "other")]) == 1
+
+
 def test_admin_in_the_background(tmp_path, capsys):
     home = ["--home", str(tmp_path / "home")]
     assert cli.main(["admin", "logs", *home]) == 0 and cli.main(["admin", "stop", *home]) == 1
