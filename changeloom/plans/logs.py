@@ -139,7 +139,8 @@ def _wire(batches):
 def _raw(spark, sf):
     ship(spark)
     log = change_log(spark, sf).select("seq", "xid", "op", "user_id", "event_type", "value", "old_value")
-    return log.mapInArrow(_wire, "seq long, data binary")
+    # a recording comes in many files; here the rows are few bytes and would meet in one task
+    return log.repartition(spark.sparkContext.defaultParallelism, "xid").mapInArrow(_wire, "seq long, data binary")
 
 
 def _decoded(spark, sf):
