@@ -170,12 +170,23 @@ def mysql_number(value: Column, is_bool: Column) -> Column:
     return F.struct(tag.alias("type"), F.when(is_bool, (value != 0).cast("string")).otherwise(value.cast("string")).alias("value"))
 
 
-def mysql_date(y: Column, mo: Column, d: Column, h: Column, mi: Column, s: Column, us: Column) -> Column:
-    """Date at midnight, else date and time, with microseconds if there are any."""
+def mysql_date(y: Column, mo: Column, d: Column, h: Column, mi: Column, s: Column, us: Column, column_type: Column | None = None) -> Column:
+    """Date at midnight, else date and time, with microseconds if there are any.
+
+    Where ``column_type`` is known (``date``, ``datetime(3)``), the text has its parts,
+    whatever they are: the midnight of a ``datetime`` is a date and a time.
+    """
     day = F.format_string("%04d-%02d-%02d", y, mo, d)
     time = F.format_string(" %02d:%02d:%02d", h, mi, s)
-    full = F.concat(day, time, F.when(us == 0, "").otherwise(F.format_string(".%06d", us)))
-    return F.when((h == 0) & (mi == 0) & (s == 0) & (us == 0), day).otherwise(full)
+    fraction = F.format_string(".%06d", us)
+    full = F.concat(day, time, F.when(us == 0, "").otherwise(fraction))
+    by_value = F.when((h == 0) & (mi == 0) & (s == 0) & (us == 0), day).otherwise(full)
+    if column_type is None:
+        return by_value
+    kind = F.lower(F.trim(column_type))
+    digits = F.coalesce(F.regexp_extract(kind, r"\(\s*(\d)", 1).try_cast("int"), F.lit(0))
+    typed = F.concat(day, time, F.when(digits > 0, F.substring(fraction, F.lit(1), digits + 1)).otherwise(""))
+    return F.when(kind == "date", day).when(kind.rlike("^(datetime|timestamp)"), typed).otherwise(by_value)
 
 
 def mysql_time(negative: Column, days: Column, h: Column, mi: Column, s: Column, us: Column) -> Column:

@@ -212,9 +212,10 @@ def f29_mysql_date(spark, sf):
     """Date and time texts of MySQL (also f30)."""
     ts, k = F.col("ts"), F.col("event_id") % 3
     zero = F.lit(0)
-    us = F.when(k == 2, F.unix_micros(ts.cast("timestamp")) % 1_000_000).otherwise(0).cast("int")
+    kind = F.when(k == 0, "date").when(k == 1, "datetime").otherwise("datetime(6)")
+    us = F.when(k == 2, F.pmod(F.unix_micros(ts.cast("timestamp")), F.lit(1_000_000))).otherwise(0).cast("int")
     part = lambda f: F.when(k == 0, zero).otherwise(f(ts))
-    day = coerce.mysql_date(F.year(ts), F.month(ts), F.dayofmonth(ts), part(F.hour), part(F.minute), part(F.second), us)
+    day = coerce.mysql_date(F.year(ts), F.month(ts), F.dayofmonth(ts), part(F.hour), part(F.minute), part(F.second), us, kind)
     time = coerce.mysql_time(F.col("event_id") % 2 == 0, F.col("event_id") % 40, F.hour(ts), F.minute(ts), F.second(ts), zero)
     return table(spark, sf, "events").select("event_id", day.alias("d"), time.alias("t"))
 

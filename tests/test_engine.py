@@ -9,6 +9,7 @@ import struct
 import threading
 import time
 
+import oracle
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from changeloom.errors import AdminError, ChangeError, ConfigError, LakeError, M
 from changeloom.functions import coerce, lsn, types, values
 from changeloom.operators import evolve, fold, merge, ordered
 from changeloom.operators.flatten import flatten
+from changeloom.plans import registry
 from changeloom.sinks.lake import LakeTable
 from changeloom.sinks.out import DatabaseTarget, database_sink
 from changeloom.sources import discovery, frames, mysql, snapshot, wire
@@ -403,6 +405,22 @@ def test_flag_columns(spark):
     assert [r["name"] for r in discovery.flag_columns(columns).collect()] == ["a"]
 
 
+def test_date_texts_by_column_type(spark, tmp_path):
+    """A date and time stays one at midnight and at a round second, where its column's type is known."""
+    n = lambda *v: [F.lit(x) for x in v]
+    text = lambda *v, kind=None: coerce.mysql_date(*n(*v), *([] if kind is None else [F.lit(kind)]))
+    midnight = (2024, 1, 2, 0, 0, 0, 0)
+    got = spark.range(1).select(
+        text(*midnight), text(*midnight, kind="date"), text(*midnight, kind="datetime"), text(*midnight, kind="DATETIME(6)"), text(*midnight, kind="blob"),
+        text(2024, 1, 2, 3, 4, 5, 60700, kind="timestamp(3)"), text(2024, 1, 2, 3, 4, 5, 60700, kind="datetime"), text(2024, 1, 2, 3, 4, 5, 60700),
+    ).first()
+    assert list(got) == ["2024-01-02", "2024-01-02", "2024-01-02 00:00:00", "2024-01-02 00:00:00.000000", "2024-01-02", "2024-01-02 03:04:05.060", "2024-01-02 03:04:05", "2024-01-02 03:04:05.060700"]
+    at = ["2024-01-02 00:00:00", "2024-01-02 10:00:00", "2024-01-02 10:20:30.000001", "1969-12-31 23:59:59.25"]
+    e = spark.createDataFrame([(i, t) for i, t in enumerate(t for t in at for _ in range(3))], "event_id long, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    e.write.parquet(f"{tmp_path}/events.parquet")
+    assert oracle.difference(spark, str(tmp_path), registry.queries()["f29_mysql_date"], registry.oracle_sql()["f29_mysql_date"]) == ""
+
+
 def test_schema_log():
     log, one = evolve.SchemaLog(), evolve.replication_schema({"id": "BigInt"}, ["id"])
     assert log.commit(one, -1) == 0
