@@ -264,21 +264,19 @@ def s09_recorded_stream(spark, sf):
     """Replication frames in files as a stream of two runs, each of which begins inside a transaction's files:
     decoded, resolved with the context of earlier batches, appended; positions are confirmed (s09 to s18)."""
     top = folder(spark, "frames")
-    path, feedback = _local(f"{top}/in"), _local(f"{top}/out") + "/feedback"
+    path, later, feedback = _local(f"{top}/in"), _local(f"{top}/later"), _local(f"{top}/out") + "/feedback"
     ends = F.when(F.substring(F.hex("data"), 1, 2) == "43", F.conv(F.substring(F.hex("data"), 21, 16), 16, 10).cast("long"))
     # one file for each run of 205 changes, so files cut transactions
-    groups = _raw(spark, sf).groupBy(F.floor(F.col("seq") / (8 * 205)).cast("int").alias("part"))
-    groups = groups.agg(F.array_sort(F.collect_list(F.struct("seq", "data", ends.alias("end")))).alias("all")).orderBy("part")
+    part = F.floor(F.col("seq") / (8 * 205)).cast("long").alias("part")
+    half = table(spark, sf, "events").agg(F.max("event_id")).first()[0] // 205 // 2
+    frames.write_groups(_raw(spark, sf).select(part, "seq", ends.alias("end"), "data"), path, later, half)
     spark.dataSource.register(frames.FrameSource)
     stream = pgoutput.messages(spark.readStream.format("replication_frames").load(path))
     t, m, store = LakeTable(spark, f"{top}/events"), Metrics(), frames.Feedback(feedback)
     sink = runner.resolving(runner.append_sink(t, "q", m), LakeTable(spark, f"{top}/context"), "q")
-    files = groups.count()
-    for place, r in enumerate(groups.toLocalIterator()):
-        made = [frames.keepalive(1, 0), *[frames.data_frame(1, x["end"] or 1, 0, bytes(x.data)) for x in r["all"]]]
-        with open(f"{path}/{r.part:06d}.frames", "wb") as f:
-            f.write(frames.record(made))
-        if place in (files // 2, files - 1):
-            runner.run(stream, f"{top}/checkpoint", sink, m, offsets=store, position=F.col("end_lsn"))
+    for _ in range(2):
+        runner.run(stream, f"{top}/checkpoint", sink, m, offsets=store, position=F.col("end_lsn"))
+        for name in sorted(os.listdir(later)):
+            os.replace(f"{later}/{name}", f"{path}/{name}")
     users = F.sum(typed(F.col("new")["user_id"], "BigInt")).alias("users")
     return t.read().groupBy("table", "op").agg(F.count("*").alias("n"), users, F.sum("xid").alias("xids")).withColumn("confirmed", F.lit(int(store.load())))

@@ -12,11 +12,16 @@ def store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def names(path: str, suffix: str) -> list[str]:
-    """Names of the files that end so, in order; names that begin with ``_`` or ``.`` are not there yet."""
+def sizes(path: str, suffix: str) -> dict[str, int]:
+    """Bytes of the files whose names end so, in order of name; names that begin with ``_`` or ``.`` are not there yet."""
     system, top = store(path)
     found = system.get_file_info(fs.FileSelector(top, allow_not_found=True))
-    return sorted(f.base_name for f in found if f.is_file and f.base_name.endswith(suffix) and f.base_name[0] not in "_.")
+    return dict(sorted((f.base_name, f.size) for f in found if f.is_file and f.base_name.endswith(suffix) and f.base_name[0] not in "_."))
+
+
+def names(path: str, suffix: str) -> list[str]:
+    """Names of such files, in order."""
+    return [*sizes(path, suffix)]
 
 
 def opened(path: str, name: str):

@@ -5,6 +5,7 @@ folder of files, named in order, each a run of frames with their length before
 them (4 bytes, big-endian).  Rows are (seq, wal_end, data), one for each data
 frame; keepalives move the position, an end frame ends the recording.  ``seq`` is
 the frame's number over all files, so files are counted once, when they appear.
+A task reads a run of files, so many small files are not as many tasks.
 
 A stream starts behind the position ``start`` (``0/16B3748``): of a commit that
 ends at or before it nothing is read again.  What a sink has taken is confirmed by
@@ -20,7 +21,11 @@ from __future__ import annotations
 
 import os
 import struct
+import uuid
+from itertools import islice
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..errors import ProtocolError
@@ -29,6 +34,11 @@ from . import files, pgoutput
 FIELDS = "seq long, wal_end long, data binary"
 #: Fixed value: bytes of a standby status message.
 STATUS = 34
+#: Bytes of each kind of frame without its data, and where its position is.
+HEADS, ENDS = {b"w": 25, b"k": 18, b"c": 1}, {b"w": 9, b"k": 1}
+#: Bytes that are read at once; rows of a batch; bytes of a task: this many tasks, unless they get smaller or larger than that.
+BLOCK, ROWS, TASKS, LEAST, MOST = 1 << 22, 4096, 64, 1 << 18, 1 << 24
+_SIZE, _END = struct.Struct(">I"), struct.Struct(">Q")
 
 
 def record(frames: list[bytes]) -> bytes:
@@ -77,23 +87,56 @@ def position(text: str) -> int:
         raise ProtocolError(f"bad position {text!r}") from e
 
 
+def write_groups(messages: DataFrame, folder: str, later: str, cut: int) -> int:
+    """Write the recording of (part, seq, end, data): a file for each part, behind a keepalive; how many files there are.
+
+    The tasks write the files, each under its name once it is whole: in ``folder``, those
+    of parts after ``cut`` in ``later``.
+    """
+
+    def write(key, table):
+        (part,) = (k.as_py() for k in key)
+        rows = table.sort_by("seq")
+        made = [data_frame(1, end or 1, 0, data) for end, data in zip(rows["end"].to_pylist(), rows["data"].to_pylist(), strict=True)]
+        top = folder if part <= cut else later
+        temporary = os.path.join(top, f"_{part:010d}-{uuid.uuid4().hex}.tmp")
+        with open(temporary, "wb") as f:
+            f.write(record([keepalive(1, 0), *made]))
+        os.replace(temporary, os.path.join(top, f"{part:010d}.frames"))
+        return pa.table({"part": pa.array([part], pa.int64())})
+
+    return messages.select("part", "seq", "end", "data").groupBy("part").applyInArrow(write, "part long").count()
+
+
+def _bodies(top: str, name: str):
+    """The frames of one file as bytes, up to its end or an end frame."""
+    with files.opened(top, name) as f:
+        rest, missing = b"", 0
+        while block := f.read(max(BLOCK, missing)):
+            raw, at = rest + block if rest else block, 0
+            while (has := len(raw) - at - 4) >= 0 and has >= (size := _SIZE.unpack_from(raw, at)[0]):
+                body = raw[at + 4 : at + 4 + size]
+                if len(body) < HEADS.get(body[:1], 1 << 32):
+                    pgoutput.frame(body)  # says what is wrong
+                if body[:1] == b"c":
+                    return
+                yield body
+                at += 4 + size
+            rest, missing = raw[at:], size - has if has >= 0 else 0
+        if rest:
+            raise ProtocolError(f"{name} ends inside a frame")
+
+
 def frames_of(top: str, name: str):
     """Decoded frames of one file, up to its end or an end frame."""
-    with files.opened(top, name) as f:
-        while head := f.read(4):
-            size = struct.unpack(">I", head)[0] if len(head) == 4 else -1
-            body = f.read(size) if size >= 0 else b""
-            if len(body) != size:
-                raise ProtocolError(f"{name} ends inside a frame")
-            found = pgoutput.frame(body)
-            if found["kind"] == "c":
-                return
-            yield found
+    return map(pgoutput.frame, _bodies(top, name))
+
 
+class _Files(InputPartition):
+    """A run of files; ``first`` is the number of its first frame."""
 
-class _File(InputPartition):
-    def __init__(self, top: str, name: str, first: int, start: int):
-        self.top, self.name, self.first, self.start = top, name, first, start
+    def __init__(self, top: str, names: list[str], first: int, start: int):
+        self.top, self.names, self.first, self.start = top, names, first, start
 
 
 class _Recording:
@@ -109,31 +152,43 @@ class _Recording:
         """How many data frames a file has, and the position that it reaches."""
         if name not in self.sizes:
             n, end = 0, 0
-            for f in frames_of(self.top, name):
-                n, end = n + (f["kind"] == "w"), max(end, f["end"] % (1 << 64))
+            for body in _bodies(self.top, name):
+                kind = body[:1]
+                n, end = n + (kind == b"w"), max(end, _END.unpack_from(body, ENDS[kind])[0])
             self.sizes[name] = (n, end)
         return self.sizes[name]
 
-    def parts(self, names: list[str]) -> list[_File]:
-        out, first = [], 0
-        for name in self.files():
-            if name in names:
-                out.append(_File(self.top, name, first, self.start))
+    def parts(self, after: str = "", last: str | None = None) -> list[_Files]:
+        """Tasks for the files behind ``after``, up to ``last``."""
+        known = {n: size for n, size in files.sizes(self.top, ".frames").items() if last is None or n <= last}
+        total = sum(size for n, size in known.items() if n > after)
+        most = min(max(total // TASKS, LEAST), MOST)
+        out, first, held = [], 0, 0
+        for name, size in known.items():
+            if name > after:
+                if not out or held + size > most:
+                    out.append(_Files(self.top, [], first, self.start))
+                    held = 0
+                out[-1].names.append(name)
+                held += size
             first += self.size(name)[0]
         return out
 
-    def read(self, part: _File):
-        seq = part.first
-        for f in frames_of(part.top, part.name):
-            if f["kind"] == "w":
-                if f["end"] % (1 << 64) > part.start:
-                    yield seq, f["end"], f["data"]
-                seq += 1
+    def read(self, part: _Files):
+        every = (b for name in part.names for b in _bodies(part.top, name) if b[:1] == b"w")
+        first = part.first
+        while block := [*islice(every, ROWS)]:
+            ends = [_END.unpack_from(b, ENDS[b"w"])[0] for b in block]
+            taken = [i for i, end in enumerate(ends) if end > part.start]
+            columns = [first + i for i in taken], [pgoutput.signed(ends[i]) for i in taken], [block[i][HEADS[b"w"] :] for i in taken]
+            kinds = (pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["seq", "wal_end", "data"])
+            first += len(block)
 
 
 class _Batch(_Recording, DataSourceReader):
     def partitions(self):
-        return self.parts(self.files())
+        return self.parts()
 
 
 class _Stream(_Recording, DataSourceStreamReader):
@@ -144,7 +199,7 @@ class _Stream(_Recording, DataSourceStreamReader):
         return {"file": (self.files() or [""])[-1]}
 
     def partitions(self, start, end):
-        return self.parts([n for n in self.files() if start["file"] < n <= end["file"]])
+        return self.parts(start["file"], end["file"])
 
     def commit(self, end):
         """The sink has all up to ``end``: confirm the position that it reached."""

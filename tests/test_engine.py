@@ -317,6 +317,32 @@ def test_recorded_frames(spark, tmp_path):
         frames.position("x/y")
 
 
+def test_many_recorded_files_are_written_by_tasks_and_read_in_few(spark, tmp_path, monkeypatch):
+    for name in ("in", "later"):
+        (tmp_path / name).mkdir()
+    messages = spark.range(600).select((F.col("id") / 2).cast("long").alias("part"), F.col("id").alias("seq"), F.when(F.col("id") % 2 == 1, F.col("id") * 10).alias("end"), F.col("id").cast("string").cast("binary").alias("data"))
+    assert frames.write_groups(messages, f"{tmp_path}/in", f"{tmp_path}/later", 249) == 300
+    assert [len(list((tmp_path / name).iterdir())) for name in ("in", "later")] == [250, 50]
+    for f in (tmp_path / "later").iterdir():
+        f.rename(tmp_path / "in" / f.name)
+    names = sorted(f.name for f in (tmp_path / "in").iterdir())
+    assert [f["kind"] for f in frames.frames_of(f"{tmp_path}/in", names[3])] == ["k", "w", "w"]
+    reader = frames._Batch(None, {"path": f"{tmp_path}/in"})
+    assert len(reader.partitions()) == 1 and len(reader.parts(names[9], names[19])[0].names) == 10 and reader.parts(names[9], names[19])[0].first == 20
+    monkeypatch.setattr(frames, "LEAST", 1)
+    parts = reader.partitions()
+    assert 10 < len(parts) <= 128 and sum((p.names for p in parts), []) == names
+    monkeypatch.setattr(frames, "BLOCK", 7)  # frames go over the ends of what is read at once
+    monkeypatch.setattr(frames, "ROWS", 3)
+    rows = [tuple(r.values()) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert rows == [(n, n * 10 if n % 2 else 1, b"%d" % n) for n in range(600)]
+    spark.dataSource.register(frames.FrameSource)
+    assert sorted(tuple(r) for r in spark.read.format("replication_frames").load(f"{tmp_path}/in").collect()) == rows
+    (tmp_path / "in" / "9.frames").write_bytes(frames.record([b"w123"]))
+    with pytest.raises(ProtocolError):
+        reader.partitions()
+
+
 def test_scram_by_the_example_of_its_rfc():
     s = wire.Scram("pencil", "user", "rOprNGfwEbeRWgbNEkqO")
     first = "r=rOprNGfwEbeRWgbNEkqO%hvYDpWUa2RaTCAfuxFIlj)hNlF$k0,s=W22ZaJ0SNY7soEsUEjb6gQ==,i=4096"
