@@ -31,9 +31,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ConfigError, LakeError
+from ..operators.ordered import positions
 
-#: Rows of one data file.
-FILE_ROWS = 5_000_000
+#: Rows of one data file; rows that one task gets at least, where files are to be full.
+FILE_ROWS, TASK_ROWS = 5_000_000, 50_000
 _EMPTY = {"version": -1, "data": [], "deletes": [], "schema": None, "key": [], "done": {}, "operation": None}
 
 
@@ -111,9 +112,21 @@ class LakeTable:
         name = f"{kind}/cdc-{kind}-{number:010d}-{uuid.uuid4().hex}"
         rows = Observation()
         df.observe(rows, F.count(F.lit(1)).alias("n")).write.option("maxRecordsPerFile", self.file_rows).parquet(f"{self.path}/{name}")
-        files = sum(n.endswith(".parquet") for n in self._names(name))
+        files = self._count(f"{self.path}/{name}")
         return name, {"files": files, "rows": rows.get["n"] if files else 0}
 
+    def _count(self, folder: str) -> int:
+        """How many data files a folder has; one call, however many there are."""
+        marker = self._fs.exists(self._path(f"{folder}/_SUCCESS"))
+        return self._fs.getContentSummary(self._path(folder)).getFileCount() - marker
+
+    def _filled(self, df: DataFrame, order: str) -> DataFrame:
+        """``df`` dealt to tasks by blocks of whole files, so that all files but the last are full."""
+        block = self.file_rows * max(1, TASK_ROWS // self.file_rows)
+        parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.spark.sparkContext.defaultParallelism)
+        placed = positions(df, order, "_place").withColumn("_task", (F.floor(F.col("_place") / block) % parts).cast("int"))
+        return placed.repartitionById(parts, "_task").sortWithinPartitions("_place").select(*[f"`{c}`" for c in df.columns])
+
     def seen(self, batch: str | None, state: dict | None = None) -> bool:
         if batch is None:
             return False
@@ -137,12 +150,13 @@ class LakeTable:
         except LakeError:
             return self.state()  # another writer was first
 
-    def append(self, df: DataFrame, batch: str | None = None) -> dict:
+    def append(self, df: DataFrame, batch: str | None = None, order: str | None = None) -> dict:
+        """Rows in one version.  With ``order``, a column of whole numbers, they follow each other so in files that are all full but the last."""
         state = self.state()
         if self.seen(batch, state):
             return state
         number = state["version"] + 1
-        name, n = self._write(df, "data", number)
+        name, n = self._write(self._filled(df, order) if order else df, "data", number)
         schema = state["schema"] or json.loads(df.schema.json())
         return self._commit(state, "append", batch, {"added-data-files": n["files"], "added-records": n["rows"]}, schema=schema, data=[*state["data"], [name, number]])
 

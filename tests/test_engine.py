@@ -22,6 +22,7 @@ from changeloom.functions import coerce, lsn, types, values
 from changeloom.operators import evolve, fold, merge, ordered
 from changeloom.operators.flatten import flatten
 from changeloom.plans import registry
+from changeloom.sinks import lake
 from changeloom.sinks.lake import LakeTable
 from changeloom.sinks.out import DatabaseTarget, database_sink
 from changeloom.sources import discovery, frames, mysql, snapshot, wire
@@ -248,6 +249,19 @@ def test_lake_reads_stay_one_scan(spark, tmp_path):
         t.ensure(t.schema(), replicated=True)
 
 
+def test_files_are_full_whichever_tasks_write_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lake, "TASK_ROWS", 20)
+    t = LakeTable(spark, f"file://{tmp_path}/t", file_rows=7)
+    rows = spark.range(1000, numPartitions=5).select((F.col("id") * 60_001 % 1009).alias("k"), F.col("id").cast("string").alias("_place x"))
+    done = t.append(rows, order="k")["summary"]
+    assert (done["added-data-files"], done["added-records"]) == (143, 1000)
+    data = spark.read.parquet(f"file://{tmp_path}/t/data/*").select("k", F.col("_metadata.file_path").alias("f"))
+    found = data.groupBy("f").agg(F.count("*").alias("n"), F.min("k").alias("a"), F.max("k").alias("b")).orderBy("a").collect()
+    assert [r.n for r in found] == [7] * 142 + [6] and all(x.b < y.a for x, y in zip(found, found[1:]))
+    assert len({r.f.rsplit("/", 1)[1].split("-")[1] for r in found}) > 2
+    assert sorted(map(tuple, t.read().collect())) == sorted(map(tuple, rows.collect()))
+
+
 def test_parts_of_a_fold_merge_in_any_order(spark):
     for seed in (5, 6):
         rng = random.Random(seed)
