@@ -13,7 +13,7 @@ from ..functions.coerce import typed
 from ..operators.flatten import flatten
 from ..scratch import folder
 from ..sinks.lake import LakeTable
-from ..sinks.out import DatabaseTarget, database_sink, write_database
+from ..sinks.out import DatabaseTarget, database_sink, sqlite_stage, write_database
 from ..sources import frames, pgoutput, snapshot
 from ..sources.log import ChangeLogSource
 from ..streaming import runner
@@ -154,7 +154,7 @@ def k05_database_state(spark, sf):
     """The fold applied to a table of a database, batch by batch in transactions, restarted in between (k04 to k08)."""
     path, stream = _files(spark, sf)
     file = _local(f"{path}/db") + "/state.db"
-    target = DatabaseTarget(lambda: sqlite3.connect(file))
+    target = DatabaseTarget(lambda: sqlite3.connect(file), stage=sqlite_stage(file, _local(f"{path}/parts")))
     sink = database_sink(target, "events", {"user_id": "BIGINT", "event_type": "TEXT", "value": "DOUBLE PRECISION"}, ["user_id"], "q")
     failed = []
 
@@ -180,8 +180,9 @@ def k05_database_state(spark, sf):
 def k04_database_log(spark, sf):
     """The flattened log appended to a table of a database; its columns are created with it and a repeated batch is not written."""
     flat = flatten(change_events(spark, sf), COLUMNS)
-    file = _local(folder(spark, "db")) + "/log.db"
-    target = DatabaseTarget(lambda: sqlite3.connect(file))
+    top = _local(folder(spark, "db"))
+    file = f"{top}/log.db"
+    target = DatabaseTarget(lambda: sqlite3.connect(file), stage=sqlite_stage(file, top))
     kinds = {c: "TEXT" for c in flat.columns} | {META[1]: "BIGINT", META[2]: "BIGINT", "value": "DOUBLE", f"{OLD}value": "DOUBLE"}
     target.ensure("log", {c: k for c, k in kinds.items() if not c.endswith("value")})
     target.evolve("log", {c: k for c, k in kinds.items() if c.endswith("value")})

@@ -6,10 +6,15 @@ frames they write are made here and tested without them.
 
 from __future__ import annotations
 
+import os
+import shutil
+import sqlite3
+import uuid
 from collections.abc import Iterable
 from contextlib import closing
 from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +22,7 @@ from ..envelope import META, OLD
 from ..functions.names import message_key, topic
 from ..functions.values import event_json
 from ..operators import merge
+from ..scratch import ship
 
 #: PostgreSQL types of the metadata columns, in order.
 META_TYPES = ["text", "bigint", "bigint", "boolean", "text", "text", "text"]
@@ -112,7 +118,8 @@ class DatabaseTarget:
     a staging table in blocks, deletes and upserts are one statement each, and the
     number of the batch is kept, so a repeated batch changes nothing.  ``stage``
     may load the staging table in another way, such as Spark's JDBC writer, which
-    writes from all executors at once.
+    writes from all executors at once, or ``sqlite_stage``; then no row goes through
+    the driver.
     """
 
     BLOCK = 5000
@@ -176,12 +183,21 @@ class DatabaseTarget:
 
     def append(self, table: str, rows: DataFrame, name: str, number: int) -> None:
         """Rows of a flattened log, once for each batch."""
+        own, staging, names = _q(table), _q(f"_stage_{table}"), ", ".join(map(_q, rows.columns))
+        if self.stage:
+            self._run(f"DROP TABLE IF EXISTS {staging}", f"CREATE TABLE {staging} AS SELECT {names} FROM {own} WHERE 1 = 0")
         with closing(self.connect()) as db:
             cursor = db.cursor()
             if not self._seen(cursor, name, number):
-                self._insert(cursor, table, rows.columns, rows)
+                if self.stage:
+                    self.stage(rows, f"_stage_{table}")
+                    cursor.execute(f"INSERT INTO {own} ({names}) SELECT {names} FROM {staging}")
+                else:
+                    self._insert(cursor, table, rows.columns, rows)
                 self._done(cursor, name, number)
             db.commit()
+        if self.stage:
+            self._run(f"DROP TABLE IF EXISTS {staging}")
 
     def apply(self, table: str, changes: DataFrame, pk: list[str], name: str, number: int, truncated: int | None = None) -> None:
         """A batch's folded changes: ``seq``, ``op`` and the columns, one row at most for each key.
@@ -223,6 +239,48 @@ class DatabaseTarget:
         self._run(f"DROP TABLE IF EXISTS {staging}")
 
 
+def sqlite_stage(file: str, folder: str, together: int = 8):
+    """A ``stage`` for a SQLite database in ``file``: the driver gets names of files, no rows.
+
+    Each task writes its rows to a file of its own in ``folder``, which all machines
+    share; a task that is repeated makes another, and only files of tasks that ended
+    well count.  The database attaches a few of them at a time (it can ten at most).
+    """
+
+    def stage(rows: DataFrame, table: str) -> None:
+        ship(rows.sparkSession)
+        top = os.path.join(folder, uuid.uuid4().hex)
+        os.makedirs(top)
+        names, marks = ", ".join(map(_q, rows.columns)), ", ".join("?" * len(rows.columns))
+
+        def write(batches):
+            name = uuid.uuid4().hex
+            with closing(sqlite3.connect(os.path.join(top, name), isolation_level=None)) as db:
+                for one in ("PRAGMA journal_mode = OFF", "PRAGMA synchronous = OFF", f"CREATE TABLE part ({names})", "BEGIN"):
+                    db.execute(one)
+                for batch in batches:
+                    db.executemany(f"INSERT INTO part VALUES ({marks})", zip(*(c.to_pylist() for c in batch.columns), strict=True))
+                db.execute("COMMIT")
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["name"])
+
+        try:
+            made = [os.path.join(top, r.name) for r in rows.mapInArrow(write, "name string").collect()]
+            with closing(sqlite3.connect(file)) as db:
+                for some in (made[i : i + together] for i in range(0, len(made), together)):
+                    for i, path in enumerate(some):
+                        db.execute(f"ATTACH ? AS part_{i}", (path,))
+                    for i, _ in enumerate(some):
+                        db.execute(f"INSERT INTO main.{_q(table)} ({names}) SELECT {names} FROM part_{i}.part")
+                    db.commit()
+                    for i, path in enumerate(some):
+                        db.execute(f"DETACH part_{i}")
+                        os.remove(path)
+        finally:
+            shutil.rmtree(top, ignore_errors=True)
+
+    return stage
+
+
 def database_sink(target: DatabaseTarget, table: str, kinds: dict[str, str], pk: list[str], name: str, seq: str = "seq"):
     """A stream's batches into a replicated table of a database, which does not depend on their order.
 

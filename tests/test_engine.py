@@ -24,7 +24,7 @@ from changeloom.operators.flatten import flatten
 from changeloom.plans import registry
 from changeloom.sinks import lake
 from changeloom.sinks.lake import LakeTable
-from changeloom.sinks.out import DatabaseTarget, database_sink
+from changeloom.sinks.out import DatabaseTarget, database_sink, sqlite_stage
 from changeloom.sources import discovery, frames, mysql, snapshot, wire
 from changeloom.sources import pgoutput as pg
 from changeloom.sources.log import ChangeLogSource
@@ -496,6 +496,30 @@ def test_database_batches_are_transactions(spark, tmp_path):
     assert found() == [(9, "z", "m")]
 
 
+def test_rows_are_staged_by_tasks(spark, tmp_path, monkeypatch):
+    file = str(tmp_path / "s.db")
+    (tmp_path / "parts").mkdir()
+    target = DatabaseTarget(lambda: sqlite3.connect(file), stage=sqlite_stage(file, f"{tmp_path}/parts"))
+    monkeypatch.setattr(type(spark.range(1)), "toLocalIterator", lambda *a, **b: pytest.fail("rows go through the driver"))
+    sizes, collect = [], type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda self: sizes.append(n := collect(self)) or n)
+    rows = spark.range(5000, numPartitions=23).select("id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("a'\""), F.col("id").cast("string"))).alias("v w"), (F.col("id") / 8).alias("x"), (F.col("id") % 2 == 0).alias("even"))
+    target.ensure("t", {"id": "BIGINT", "v w": "TEXT", "x": "DOUBLE", "even": "TEXT"})
+    for number in (0, 0, 1):
+        target.append("t", rows, "q", number)
+    found = sqlite3.connect(file).execute("select id, \"v w\", x, even from t order by id").fetchall()
+    assert found == [(i, f"a'\"{i}" if i % 3 else None, i / 8, str(int(i % 2 == 0))) for i in range(5000) for _ in range(2)]
+    assert [len(s) for s in sizes] == [23, 23] and not list((tmp_path / "parts").iterdir())
+    target._done = lambda *x: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        target.append("t", rows, "q", 2)
+    del target._done
+    assert sqlite3.connect(file).execute("select count(*) from t").fetchone() == (10_000,)
+    target.append("t", rows, "q", 2)
+    assert sqlite3.connect(file).execute("select count(*) from t").fetchone() == (15_000,)
+    assert not [n for n in sqlite3.connect(file).execute("select name from sqlite_master").fetchall() if "stage" in n[0]]
+
+
 def test_offsets(tmp_path):
     one, two = (SqliteOffsets(str(tmp_path / "o.db"), k) for k in "ab")
     assert one.load() is None
