@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..envelope import META, OLD
 from ..functions.coerce import typed
 from ..operators.flatten import flatten
-from ..scratch import folder
+from ..scratch import folder, one_process
 from ..sinks.lake import LakeTable
 from ..sinks.out import DatabaseTarget, database_sink, sqlite_stage, write_database
 from ..sources import frames, pgoutput, snapshot
@@ -195,17 +195,30 @@ def k04_database_log(spark, sf):
 
 @query("""select 'S' as _cdc_op, o_orderkey, o_orderstatus, o_totalprice from orders""")
 def s21_jdbc_snapshot(spark, sf):
-    """Orders in a database, by the JDBC writer, and their snapshot in parts of the key, by the reader (k04, s21).
+    """Orders in a database, and their snapshot in parts of the key (k04, s21).
 
-    The database is Derby in Spark's own JVM, which comes with Spark; so this runs in local mode only.
+    Where Spark is one process, by the JDBC writer and reader: the database is Derby
+    in Spark's own JVM, which comes with Spark.  On a cluster each JVM would have a
+    Derby of its own, and Spark brings no server; there it is SQLite in a file that
+    all machines share, which tasks load and tasks read.
     """
-    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", os.devnull)
-    url = f"jdbc:derby:memory:{os.path.basename(folder(spark, 'derby')).replace('-', '')};create=true"
-    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
-    o = table(spark, sf, "orders")
-    write_database(o.select("o_orderkey", "o_orderstatus", "o_totalprice"), url, "orders", **driver)
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
     last = o.agg(F.max("o_orderkey")).first()[0]
-    found = snapshot.read_jdbc(spark, url, "orders", "o_orderkey", (0, last + 1), 4, **driver)
+    bounds = (0, 1 if last is None else last + 1)
+    if one_process(spark):
+        spark._jvm.java.lang.System.setProperty("derby.stream.error.file", os.devnull)
+        url = f"jdbc:derby:memory:{os.path.basename(folder(spark, 'derby')).replace('-', '')};create=true"
+        driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+        write_database(o, url, "orders", **driver)
+        found = snapshot.read_jdbc(spark, url, "orders", "o_orderkey", bounds, 4, **driver)
+    else:
+        top = _local(folder(spark, "db"))
+        file = f"{top}/orders.db"
+        target = DatabaseTarget(lambda: sqlite3.connect(file), stage=sqlite_stage(file, top))
+        target.ensure("orders", {"o_orderkey": "BIGINT", "o_orderstatus": "TEXT", "o_totalprice": "DOUBLE"})
+        target.append("orders", o, "q", 0)
+        target.index("orders", "o_orderkey")
+        found = snapshot.read_sqlite(spark, file, "orders", o.schema, "o_orderkey", bounds, max(4, bounds[1] // 250_000))
     kinds = {"o_orderkey": "BigInt", "o_orderstatus": "Text", "o_totalprice": "Double"}
     events = snapshot.snapshot(found, "orders", ["o_orderkey"], {"o_orderkey": "Int", "o_orderstatus": "Text", "o_totalprice": "Float"}, seq=F.col("o_orderkey"))
     return flatten(events, kinds).select("_cdc_op", *kinds)

@@ -16,6 +16,12 @@ _roots: dict[str, str] = {}
 _made: dict[str, list[str]] = {}
 
 
+def one_process(spark: SparkSession) -> bool:
+    """Whether tasks run in the driver's own JVM."""
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def folder(spark: SparkSession, label: str) -> str:
     """A new folder below ``spark.checkpoint.dir``; a temporary one where that is unset and Spark is one process.
 
@@ -24,8 +30,7 @@ def folder(spark: SparkSession, label: str) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     app = spark.sparkContext.applicationId
     if not found:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
+        if not one_process(spark):
             raise ConfigError("set spark.checkpoint.dir to a folder that all machines share")
         if app not in _roots:
             _roots[app] = tempfile.mkdtemp(prefix="changeloom-")

@@ -162,6 +162,10 @@ class DatabaseTarget:
         more = [f"ALTER TABLE {_q(table)} ADD COLUMN {_q(c)} {k}" for c, k in added.items() if c not in known]
         self._run(*more, *[f"ALTER TABLE {_q(table)} DROP COLUMN {_q(c)}" for c in dropped if c in known])
 
+    def index(self, table: str, column: str) -> None:
+        """An index, so that parts of a column are read without the rest."""
+        self._run(f"CREATE INDEX IF NOT EXISTS {_q(f'{table}_{column}')} ON {_q(table)} ({_q(column)})")
+
     def _seen(self, cursor, name: str, number: int) -> bool:
         cursor.execute(f"CREATE TABLE IF NOT EXISTS {_q(self.APPLIED)} (name TEXT PRIMARY KEY, number BIGINT NOT NULL)")
         return number <= self._number(cursor, name)

@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import sqlite3
+from contextlib import closing
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..envelope import cell, envelope, image, no_image
 from ..functions.coerce import pg_cell
 from ..functions.names import copy_fields
 from ..operators.ordered import SPAN, positions
+from ..scratch import ship
 
 #: Fixed value: rows between two checkpoints of a snapshot.
 CHECKPOINT_ROWS = 10_000
@@ -60,6 +68,29 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str | None = None,
     return reader.load()
 
 
+def read_sqlite(spark: SparkSession, file: str, table: str, schema: T.StructType, key: str, bounds: tuple[int, int], parts: int = 8, block: int = 10_000) -> DataFrame:
+    """A table of a SQLite database in a file that all machines share, read in parts of its key, one read transaction each.
+
+    As with ``read_jdbc``, ``bounds`` only say where the parts are cut: the first has
+    what is below them too, and rows without a key, and the last what is above.
+    """
+    ship(spark)
+    low, high = bounds
+    cuts = [low + (high - low) * i // parts for i in range(1, parts)]
+    kinds, names = to_arrow_schema(schema), ", ".join(f'"{f.name}"' for f in schema)
+
+    def read(batches):
+        with closing(sqlite3.connect(f"file:{quote(file)}?mode=ro", uri=True)) as db:
+            for i in (i for batch in batches for i in batch.column(0).to_pylist()):
+                below = f'("{key}" < {cuts[i]}' + (")" if i else f' OR "{key}" IS NULL)') if i < len(cuts) else "1 = 1"
+                above = f'"{key}" >= {cuts[i - 1]}' if i else "1 = 1"
+                found = db.execute(f'SELECT {names} FROM "{table}" WHERE {above} AND {below}')
+                while rows := found.fetchmany(block):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kinds, strict=True)], schema=kinds)
+
+    return spark.range(parts, numPartitions=parts).mapInArrow(read, schema)
+
+
 def primary_keys(attributes: DataFrame, classes: DataFrame, namespaces: DataFrame, indexes: DataFrame) -> DataFrame:
     """(schema, table, oid, pk) from PostgreSQL's catalogs."""
     keys = indexes.where("indisprimary").select(F.col("indrelid").alias("oid"), F.posexplode("indkey").alias("place", "attnum"))

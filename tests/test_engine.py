@@ -21,7 +21,7 @@ from changeloom.errors import AdminError, ChangeError, ConfigError, LakeError, M
 from changeloom.functions import coerce, lsn, types, values
 from changeloom.operators import evolve, fold, merge, ordered
 from changeloom.operators.flatten import flatten
-from changeloom.plans import registry
+from changeloom.plans import registry, streams
 from changeloom.sinks import lake
 from changeloom.sinks.lake import LakeTable
 from changeloom.sinks.out import DatabaseTarget, database_sink, sqlite_stage
@@ -520,6 +520,21 @@ def test_rows_are_staged_by_tasks(spark, tmp_path, monkeypatch):
     assert not [n for n in sqlite3.connect(file).execute("select name from sqlite_master").fetchall() if "stage" in n[0]]
 
 
+def test_a_shared_database_is_read_in_parts_of_its_key(spark, tmp_path, monkeypatch):
+    file = str(tmp_path / "a b.db")
+    rows = [(k, f"v{i}" if i % 3 else None) for i, k in enumerate([*range(-3, 20), 7, 7, None, None, 99])]
+    with sqlite3.connect(file) as db:
+        db.execute("create table t (k bigint, v text)")
+        db.executemany("insert into t values (?, ?)", rows)
+    schema = spark.createDataFrame([], "k long, v string").schema
+    for parts in (1, 2, 5, 40):
+        found = snapshot.read_sqlite(spark, file, "t", schema, "k", (0, 20), parts, block=3)
+        assert found.rdd.getNumPartitions() == parts and sorted(map(tuple, found.collect()), key=repr) == sorted(rows, key=repr)
+    monkeypatch.setattr(streams, "one_process", lambda spark: False)  # as on a cluster, where Derby is not one database
+    name = "s21_jdbc_snapshot"
+    assert oracle.difference(spark, "/root/testdata/sf0.001", registry.queries()[name], registry.oracle_sql()[name]) == ""
+
+
 def test_offsets(tmp_path):
     one, two = (SqliteOffsets(str(tmp_path / "o.db"), k) for k in "ab")
     assert one.load() is None
