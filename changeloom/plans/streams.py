@@ -7,6 +7,7 @@ import sqlite3
 from urllib.parse import unquote, urlparse
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..envelope import META, OLD
 from ..functions.coerce import typed
@@ -172,8 +173,9 @@ def k05_database_state(spark, sf):
             raise
     runner.run(ordered, f"{path}/checkpoint", once)
     with sqlite3.connect(file) as db:
-        found = db.execute("SELECT user_id, event_type, value FROM events").fetchall()
-    return rows(spark, "user_id long, event_type string, value double", *found)
+        n, least, most = db.execute("SELECT count(*), min(user_id), max(user_id) FROM events").fetchone()
+    shape = T.StructType.fromDDL("user_id long, event_type string, value double")
+    return snapshot.read_sqlite(spark, file, "events", shape, "user_id", (least or 0, (most or 0) + 1), max(4, n // 250_000))
 
 
 @query("""LOG select op as _cdc_op, count(*) as n, sum(xid * 256)::bigint as lsn, count(case when op in ('I', 'U') then value end) as n_value, count(case when op in ('U', 'D') then old_value end) as n_old from cl group by 1""")
